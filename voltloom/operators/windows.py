@@ -23,9 +23,12 @@ class Chunks:
     ts: str = "ts"
     step_seconds: int = 3600
     size: int = 2016  # steps a chunk owns: twelve weeks of hours
+    index: str | None = None  # an integer column to use as the step number instead of the time
 
     def slot(self) -> Column:
-        """The step number of a row since the epoch."""
+        """The step number of a row: its index, or the steps since the epoch."""
+        if self.index is not None:
+            return F.col(self.index)
         return F.floor(F.unix_seconds(self.ts) / self.step_seconds)
 
     def number(self) -> Column:

@@ -42,7 +42,7 @@ def sql(ctes: list[str], body: str, keep: str = "", real: str = "", whole: str =
         *[f"CAST({c} AS BIGINT) AS {c}" for c in whole.split()],
     ]
     head = ",\n".join(ctes)
-    return f"WITH {head + ',' if head else ''}\nanswer AS ({body})\nSELECT {', '.join(columns)} FROM answer"
+    return f"WITH RECURSIVE {head + ',' if head else ''}\nanswer AS ({body})\nSELECT {', '.join(columns)} FROM answer"
 
 
 def register(name: str, oracle: str | None = None, digits: int = DIGITS):

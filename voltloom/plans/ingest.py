@@ -303,15 +303,15 @@ def one_hot(spark, sf_dir):
     return market.daily_orders(spark, sf_dir).select("zone", "ts").withColumns(reshape.indicator_columns(F.col("ts")))
 
 
-@register("unpivot_horizon", sql([*MARKET], """SELECT zone, date_trunc('day', ts) - INTERVAL 1 HOUR AS origin, hour(ts) + 1 AS horizon, ts,
-  price AS y_pred FROM market""", "zone origin ts", "y_pred", "horizon"))
+@register("unpivot_horizon", sql([*MARKET], """SELECT d.zone, d.day - INTERVAL 1 HOUR AS origin, h + 1 AS horizon, d.day + to_hours(CAST(h AS INT)) AS ts,
+  m.price AS y_pred FROM (SELECT DISTINCT zone, date_trunc('day', ts) AS day FROM market) d CROSS JOIN range(24) r(h)
+  LEFT JOIN market m ON m.zone = d.zone AND m.ts = d.day + to_hours(CAST(h AS INT))""", "zone origin ts", "y_pred", "horizon"))
 def unpivot_horizon(spark, sf_dir):
+    """A day's 24 prices as the vector issued the hour before."""
     hourly = market.hourly_market(spark, sf_dir)
-    day = F.date_trunc("day", "ts")
-    vectors = hourly.groupBy("zone", (day - F.expr("INTERVAL 1 HOUR")).alias("origin")).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "price"))).alias("s"))
-    whole = vectors.select("zone", "origin", F.col("s.price").alias("forecast"))
-    return reshape.unpivot_horizon(whole, "forecast", ["zone"])
+    vector = F.array(*[F.max(F.when(F.hour("ts") == h, F.col("price"))) for h in range(24)])
+    days = hourly.groupBy("zone", (F.date_trunc("day", "ts") - F.expr("INTERVAL 1 HOUR")).alias("origin"))
+    return reshape.unpivot_horizon(days.agg(vector.alias("forecast")), "forecast", ["zone"])
 
 
 def _heat_sql(row: str, name: str) -> str:
