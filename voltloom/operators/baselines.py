@@ -87,7 +87,7 @@ def linear_features(
 
     halo = max(*lags, *windows)
     rows = over_chunks(df.select(*chunks.keys, chunks.ts, value), halo, build, chunks)
-    return rows.withColumns(indicator_columns(F.col(chunks.ts))).na.drop("any")
+    return rows.na.drop("any").withColumns(indicator_columns(F.col(chunks.ts)))
 
 
 def run_baselines(df: DataFrame, train_split: float = 0.8, value="price", chunks: Chunks = DEFAULT) -> DataFrame:

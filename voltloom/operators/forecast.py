@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.numeric import percent_change, ratio
+from ..session import checkpoint
 from .boosting import score
 from .features import WEATHER_WINDOWS, FeatureSpec, build_features, grid_columns, solar_capacity_factor
 from .grid import future_index
@@ -169,45 +170,42 @@ def forecast_recursive(
     spec: FeatureSpec,
     horizon: int = 24,
     same_hour: bool = False,
+    steps_per_stage: int = 8,
 ) -> DataFrame:
     """(keys, origin, horizon, ts, y_pred) for every row of ``origins`` (keys, origin).
 
     Each (series, origin) is one row carrying its recent values. A step computes the features of
-    the next hour, scores them, and appends the prediction to the row's own array, so all steps run
-    inside one stage without a shuffle between them. Other inputs are carried forward. With
+    the next hour, scores them, and appends the prediction to the row's own array, so steps run
+    without a shuffle between them; the small state is checkpointed every ``steps_per_stage`` steps to
+    keep plans short. Other inputs are carried forward. With
     ``same_hour`` a step scores the newest known hour and labels it an hour later.
     """
     keys = list(spec.chunks.keys)
     lengths = _state_lengths(spec, df.columns)
     state = origin_state(df, origins, spec).where(F.col("_known") >= max(spec.lags))
-    if "is_holiday" in features or "is_holiday_eve" in features:
-        state = _with_holidays(state, keys, horizon, spec, same_hour)
-    kept = state.columns
-    state = state.withColumn("_out", F.array().cast("array<double>"))
-    carry_first = not same_hour
+    state = _with_holidays(state, keys, horizon, spec, same_hour)
+    kept = [c for c in state.columns if c != f"_{PRICE}"]
     arrays = [c for c in lengths if c != PRICE]
-
-    def carried(s: DataFrame) -> DataFrame:
-        return s.withColumns({f"_{c}": _push(F.col(f"_{c}"), _back(F.col(f"_{c}"), 1), lengths[c]) for c in arrays})
-
+    ahead = F.col("_step") if not same_hour else F.col("_step") - 1
+    values = _step_features(spec, df.columns, same_hour)
+    values |= _calendar(spec, F.col("origin") + F.make_dt_interval(hours=ahead))
+    values |= {"is_holiday": F.element_at("_holidays", F.col("_step")), "is_holiday_eve": F.element_at("_eves", F.col("_step"))}
+    inputs = {f: values[f] for f in features}
+    carried = {f"_{c}": _push(F.col(f"_{c}"), _back(F.col(f"_{c}"), 1), lengths[c]) for c in arrays}
+    predicted = F.when(~F.isnan("y_pred"), F.col("y_pred"))
+    price = _push(F.col(f"_{PRICE}"), predicted, lengths[PRICE]).alias(f"_{PRICE}")
+    output = F.concat("_out", F.array(predicted)).alias("_out")
+    plain = [c for c in kept if c not in carried]
+
+    state = state.withColumns({"_out": F.array().cast("array<double>"), "_step": F.lit(1)})
+    if not same_hour and carried:
+        state = state.withColumns(carried)
     for h in range(1, horizon + 1):
-        if carry_first and arrays:
-            state = carried(state)
-        offset = h if carry_first else h - 1
-        ts = F.col("origin") + F.expr(f"INTERVAL {offset} HOURS")
-        values = _step_features(spec, df.columns, same_hour) | _calendar(spec, ts)
-        if "_holidays" in kept:
-            values |= {"is_holiday": F.col("_holidays")[h - 1], "is_holiday_eve": F.col("_eves")[h - 1]}
-        row = state.withColumns({f: values[f] for f in features})
-        scored = score(model, row)
-        predicted = F.when(~F.isnan("y_pred"), F.col("y_pred"))
-        state = scored.withColumn("y_pred", predicted).select(
-            *[c for c in kept if c != f"_{PRICE}"],
-            _push(F.col(f"_{PRICE}"), F.col("y_pred"), lengths[PRICE]).alias(f"_{PRICE}"),
-            F.concat("_out", F.array("y_pred")).alias("_out"),
-        )
-        if not carry_first and arrays:
-            state = carried(state)
+        scored = score(model, state.withColumns(inputs))
+        following = [c.alias(n) for n, c in carried.items()]
+        state = scored.select(*plain, *following, price, output, (F.col("_step") + 1).alias("_step"))
+        if h % steps_per_stage == 0 and h < horizon:
+            state = checkpoint(state)
     rows = state.select(*keys, "origin", F.posexplode("_out").alias("_i", "y_pred"))
     return rows.select(
         *keys, "origin", (F.col("_i") + 1).alias("horizon"),

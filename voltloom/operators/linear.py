@@ -181,6 +181,7 @@ def fit_ridge_cv(
     by = [*keys, "_chunk"]
     rows = complete.withColumn("_chunk", chunks.number()).select(*by, *features, label)
     matrices = rows.select(*by).distinct().join(grams, keys)
+    matrices = matrices.select(*[F.col(c).alias(c) for c in matrices.columns])  # columns of its own, for the cogroup
     schema = T.StructType(
         [*_key_fields(df, keys), T.StructField("errors", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]
     )

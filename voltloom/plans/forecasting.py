@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import backtest as walk
 from ..operators import baselines, boosting, features, forecast, linear, profiles
 from ..sources import market
-from .catalog import MARKET, register, sql
+from .catalog import MARKET, TOTAL, register, sql
 from .clockwork import CYCLES, DST, HOLIDAYS, SHARE, SOLAR_RATIO, holiday_flags
 from .statistics import METRIC_SQL
 from .windowed import PCT, WEATHER, frame
@@ -36,6 +36,11 @@ def _price(spark, sf_dir):
     return _market(spark, sf_dir).select("zone", "ts", "price")
 
 
+def _total_price(spark, sf_dir):
+    """One series over all zones: strict rolling windows need unbroken hours."""
+    return market.hourly_total(spark, sf_dir).select("zone", "ts", "price")
+
+
 # ── baselines ───────────────────────────────────────────────────────────────
 
 ENDS = "ends AS (SELECT zone, max(ts) AS origin, count(*) AS n FROM market GROUP BY zone)"
@@ -76,7 +81,7 @@ _INDICATORS = {
     **{f"mon_{k}": f"CASE WHEN month(ts) = {k} THEN 1 ELSE 0 END" for k in range(1, 13)},
 }
 LINEAR = [
-    *MARKET,
+    *TOTAL,
     "num AS (SELECT zone, ts, price, row_number() OVER (PARTITION BY zone ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY zone) AS n, "
     + ", ".join(f"lag(price, {k}) OVER (PARTITION BY zone ORDER BY ts) AS lag_{k}h" for k in baselines.LINEAR_LAGS) + ", "
     + ", ".join(f"CASE WHEN count(price) {frame(n)} = {n} THEN {fn}(price) {frame(n)} END AS roll_{kind}_{n}h"
@@ -88,7 +93,7 @@ LINEAR = [
 
 @register("linear_features", sql(LINEAR, "SELECT * FROM lin", "zone ts", "price " + " ".join(LINEAR_NAMES[:7]), " ".join(LINEAR_NAMES[7:])))
 def linear_features(spark, sf_dir):
-    return baselines.linear_features(_price(spark, sf_dir))
+    return baselines.linear_features(_total_price(spark, sf_dir))
 
 
 def least_squares(rows: str, by: str) -> list[str]:
@@ -103,10 +108,10 @@ def least_squares(rows: str, by: str) -> list[str]:
         f"lines AS (SELECT {keys}, i, list(v ORDER BY j) AS r FROM cells GROUP BY {keys}, i)",
         f"mats AS (SELECT {keys}, list(r ORDER BY i) AS m, list(r[i] ORDER BY i) AS d FROM lines GROUP BY {keys})",
         f"elim AS (SELECT {keys}, 1 AS p, m, d FROM mats UNION ALL SELECT {keys}, p + 1, "
-        "CASE WHEN m[p][p] <= 1e-9 * d[p] OR d[p] = 0 THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = p "
+        "CASE WHEN m[p][p] <= 1e-6 * d[p] OR d[p] = 0 THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = p "
         "THEN list_transform(r, lambda x: x / m[p][p]) ELSE list_transform(r, lambda x, j: x - r[p] * m[p][j] / m[p][p]) END) END, d "
         f"FROM elim WHERE p <= {k})",
-        f"coefs AS (SELECT {keys}, list_transform(m, lambda r, i: CASE WHEN r[i] = 1 THEN r[{k + 1}] ELSE 0 END) AS c FROM elim WHERE p = {k + 1})",
+        f"coefs AS (SELECT {keys}, list_transform(m, lambda r, i: CASE WHEN abs(r[i] - 1) < 0.01 THEN r[{k + 1}] ELSE 0 END) AS c FROM elim WHERE p = {k + 1})",
     ]
 
 
@@ -117,7 +122,7 @@ def fitted(table: str) -> str:
 @register("fit_ols", sql([*LINEAR, *least_squares("lin", "zone")], f"SELECT lin.zone, ts, price, {fitted('lin')} AS y_pred FROM lin JOIN coefs USING (zone)",
                          "zone ts", "price y_pred", digits=4), digits=4)
 def fit_ols(spark, sf_dir):
-    matrix = baselines.linear_features(_price(spark, sf_dir))
+    matrix = baselines.linear_features(_total_price(spark, sf_dir))
     coefs = linear.fit_ols(matrix, LINEAR_NAMES)
     return linear.score_linear(matrix, coefs, LINEAR_NAMES).select("zone", "ts", "price", "y_pred")
 
@@ -125,7 +130,7 @@ def fit_ols(spark, sf_dir):
 @register("fit_ridge_cv")
 def fit_ridge_cv(spark, sf_dir):
     """Penalty, leave-one-out error and error of the fit on the linear features."""
-    matrix = baselines.linear_features(_price(spark, sf_dir))
+    matrix = baselines.linear_features(_total_price(spark, sf_dir))
     fit = linear.fit_ridge_cv(matrix, LINEAR_NAMES)
     scored = linear.score_linear(matrix, fit, LINEAR_NAMES).withColumn("y_true", F.col("price"))
     return fit.select("zone", "alpha", "loo_mse").join(profiles.metrics_by(scored), "zone")
@@ -156,7 +161,7 @@ _BASE = """log AS (
   100 * avg(abs((y_true - y_pred) / y_true)) FILTER (WHERE y_true <> 0) AS mape, count(*) AS rows FROM log
   WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1, 2""", "zone model", "mae rmse mape", "rows", digits=4), digits=4)
 def run_baselines(spark, sf_dir):
-    return baselines.run_baselines(_price(spark, sf_dir))
+    return baselines.run_baselines(_total_price(spark, sf_dir))
 
 
 _COMPARE = [
@@ -252,8 +257,8 @@ def fit_gbt(spark, sf_dir):
 
 @register("tune_rounds")
 def tune_rounds(spark, sf_dir):
-    train, _ = _strict_rows(spark, sf_dir)
-    folds, rounds = boosting.tune_rounds(train, MODEL_FEATURES, BOOST)
+    rows = features.build_features(_market(spark, sf_dir), forecast.strict_spec())
+    folds, rounds = boosting.tune_rounds(rows, MODEL_FEATURES, BOOST)
     return folds.withColumn("final_rounds", F.lit(rounds))
 
 
@@ -294,7 +299,7 @@ _LIN_MEAN = ", ".join(f"avg({f}) AS {f}" for f in LINEAR_NAMES)
     "zone feature", "importance", "rank", digits=4), digits=4)
 def linear_importance_topk(spark, sf_dir):
     """Mean |w (x - mean x)| of the lag and rolling columns, ranked; exact for the linear model."""
-    matrix = baselines.linear_features(_price(spark, sf_dir))
+    matrix = baselines.linear_features(_total_price(spark, sf_dir))
     scores = linear.linear_importance(matrix, linear.fit_ols(matrix, LINEAR_NAMES), LINEAR_NAMES)
     return profiles.top_importance(scores.where(F.col("feature").isin(LINEAR_NAMES[:7])), 20)
 
@@ -403,7 +408,7 @@ def fold_theta_join(spark, sf_dir):
   JOIN coefs ON coefs.zone = lin.zone AND coefs.iteration = f.iteration""", "zone ts", "y_true y_pred", "iteration horizon", digits=4), digits=4)
 def expanding_ols(spark, sf_dir):
     """A fold's rows are complete feature rows placed by their hour on the whole grid."""
-    prices = _price(spark, sf_dir)
+    prices = _total_price(spark, sf_dir)
     matrix = prices.select("zone", "ts").join(baselines.linear_features(prices), ["zone", "ts"], "left")
     return walk.expanding_ols(matrix, LINEAR_NAMES, WALK).where(F.col("y_true").isNotNull())
 

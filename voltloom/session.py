@@ -15,6 +15,8 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Inferring filters from fifty indicator columns takes the optimizer exponential time.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 _local_dirs: dict[str, str] = {}
 
