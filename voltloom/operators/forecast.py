@@ -170,7 +170,7 @@ def forecast_recursive(
     spec: FeatureSpec,
     horizon: int = 24,
     same_hour: bool = False,
-    steps_per_stage: int = 8,
+    steps_per_stage: int = 6,
 ) -> DataFrame:
     """(keys, origin, horizon, ts, y_pred) for every row of ``origins`` (keys, origin).
 
