@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..functions.numeric import percent_change
 from ..operators import features, grid, lookups, windows
+from ..session import work_path
 from ..sources import market
+from ..streaming import resample
 from .catalog import DAILY, HOURS, MARKET, READINGS, TOTAL, register, sql
 
 _HOLIDAYS = ", ".join(f"(DATE '{d}')" for d in clock.holiday_dates())
@@ -98,6 +100,19 @@ def resample_hourly(spark, sf_dir):
     return grid.regular_grid(means, bounds=grid.time_bounds(events))
 
 
+@register("resample_stream", sql([READINGS], """SELECT zone, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY 1, 2
+  HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM readings) - INTERVAL 1 HOUR""", "zone ts", "value"))
+def resample_stream(spark, sf_dir):
+    """The same means from a stream of the readings; hours still open at its end are not written."""
+    source = market.read_table(spark, sf_dir, "events")
+    live = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(
+        F.col("event_type").alias("zone"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    base = work_path(spark, "stream")
+    run = resample.write_stream(resample.resample_stream(live, ["value"]), f"{base}/out", f"{base}/state")
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @register("regular_grid", sql([*MARKET], "SELECT zone, ts, price FROM market", "zone ts", "price"))
 def regular_grid(spark, sf_dir):
     return grid.regular_grid(market.hourly_observed(spark, sf_dir).select("zone", "ts", "price"))
