@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -58,9 +58,16 @@ def gbt(config: BoostConfig, label: str = "price", rounds: int | None = None) ->
 
 
 def fit_model(train: DataFrame, features: list[str], estimator: Estimator, label: str = "price") -> PipelineModel:
-    """Fit any regressor on the complete rows of all series together."""
-    rows = train.select(*features, label).na.drop("any")
-    return Pipeline(stages=[assembler(features), estimator]).fit(rows)
+    """Fit any regressor on the complete rows of all series together.
+
+    Training passes over its input several times, so the assembled rows are kept while it runs.
+    """
+    vectors = assembler(features)
+    rows = vectors.transform(train.select(*features, label).na.drop("any")).select("features", label).persist()
+    try:
+        return PipelineModel([vectors, estimator.fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def fit_gbt(

@@ -117,11 +117,14 @@ def grid_columns(load: Column, solar: Column, wind: Column) -> dict[str, Column]
 def build_features(df: DataFrame, spec: FeatureSpec, data_years=None) -> DataFrame:
     """Add every feature the canonical columns of ``df`` allow; absent inputs are skipped.
 
-    All windows share one chunked shuffle and one sort; the scalar groups fuse into it.
+    The rank joins first, while rows are narrow. Then all windows share one chunked shuffle and one
+    sort, and the scalar groups fuse into it. The rank reads the table more than once: hand over a
+    stored table and not a long plan.
     """
     present = set(df.columns)
     weather = [v for v in WEATHER_NAMES if v in present]
     has_grid = {LOAD, "gen_solar", "gen_wind"} <= present
+    ranked = has_grid and spec.rank != "none"
     s = spec.exog_shift
 
     def windows(w: WindowSpec) -> dict[str, Column]:
@@ -134,23 +137,26 @@ def build_features(df: DataFrame, spec: FeatureSpec, data_years=None) -> DataFra
             out["solar_estimated_cf"] = solar_capacity_factor(_at("solar_irradiance", s, w))
         if has_grid:
             out |= grid_columns(*[_at(c, s, w) for c in (LOAD, "gen_solar", "gen_wind")])
+            if s and ranked:
+                out["residual_load_pct"] = F.lag("residual_load_pct", s).over(w)
         if FLOW in present:
             out["net_import"] = _at(FLOW, s, w)
         if LOAD in present:
             out |= load_windows(w, s, spec.load_ratio_window)
         return out
 
-    result = over_chunks(df, spec.halo(), windows, spec.chunks)
-    if has_grid and spec.rank != "none":
+    if ranked:
         counted = None
         if spec.rank == "train":
             if spec.train_before is None:
                 raise ValueError("rank='train' needs train_before")
-            counted = F.col("ts") < F.lit(spec.train_before).cast("timestamp")
-        result = percent_rank(
-            result, list(spec.chunks.keys), "residual_load", "residual_load_pct", spec.chunks.ts, counted=counted
-        )
-    return calendar_features(result, spec, data_years)
+            counted = F.col(spec.chunks.ts) < F.lit(spec.train_before).cast("timestamp")
+        residual = grid_columns(F.col(LOAD), F.col("gen_solar"), F.col("gen_wind"))["residual_load"]
+        df = percent_rank(
+            df.withColumn("_residual", residual), list(spec.chunks.keys), "_residual", "residual_load_pct",
+            spec.chunks.ts, counted=counted,
+        ).drop("_residual")
+    return calendar_features(over_chunks(df, spec.halo(), windows, spec.chunks), spec, data_years)
 
 
 def calendar_features(df: DataFrame, spec: FeatureSpec, data_years=None) -> DataFrame:

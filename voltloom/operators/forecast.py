@@ -61,13 +61,13 @@ def _back(array: Column, k: int) -> Column:
 
 
 def _mean(array: Column) -> Column:
-    known = F.filter(array, lambda x: x.isNotNull() & ~F.isnan(x))
+    known = F.array_compact(array)
     return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known).cast("double"))
 
 
 def _std(array: Column, mean: Column) -> Column:
-    known = F.filter(array, lambda x: x.isNotNull() & ~F.isnan(x))
-    squares = F.aggregate(F.transform(known, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
+    known = F.array_compact(array)
+    squares = F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
     n = F.size(known)
     return F.when(n > 1, F.sqrt(F.try_divide(squares, (n - 1).cast("double"))))
 
@@ -115,8 +115,8 @@ def origin_state(df: DataFrame, origins: DataFrame, spec: FeatureSpec) -> DataFr
     )
 
 
-def _step_features(spec: FeatureSpec, columns: list[str], same_hour: bool) -> dict[str, Column]:
-    """The features of one row in terms of the state. ``same_hour``: the newest price is the row's own."""
+def _price_features(spec: FeatureSpec, same_hour: bool) -> dict[str, Column]:
+    """Price features of one row from the newest prices. ``same_hour``: the newest is the row's own."""
     price = F.col(f"_{PRICE}")
     own = 1 if same_hour else 0
     now = _back(price, 1)
@@ -131,6 +131,12 @@ def _step_features(spec: FeatureSpec, columns: list[str], same_hour: bool) -> di
         out[f"price_roll_zscore_{n}h"] = ratio(now - mean, _std(_last(price, n), mean))
     if 168 in spec.windows:
         out["price_vs_7d_mean"] = now - _mean(_last(price, 168))
+    return out
+
+
+def _carried_features(spec: FeatureSpec, columns: list[str]) -> dict[str, Column]:
+    """Weather, load and grid features of one row from the newest values of each input."""
+    out: dict[str, Column] = {}
     for var in WEATHER_NAMES:
         if var in columns:
             values = F.col(f"_{var}")
@@ -174,36 +180,29 @@ def forecast_recursive(
 ) -> DataFrame:
     """(keys, origin, horizon, ts, y_pred) for every row of ``origins`` (keys, origin).
 
-    Each (series, origin) is one row carrying its recent values. A step computes the features of
-    the next hour, scores them, and appends the prediction to the row's own array, so steps run
-    without a shuffle between them; the small state is checkpointed every ``steps_per_stage`` steps to
-    keep plans short. Other inputs are carried forward. With
-    ``same_hour`` a step scores the newest known hour and labels it an hour later.
+    Each (series, origin) is one row holding its recent prices and, for every step, the features
+    that do not depend on the forecast; other inputs are carried forward from the origin. A step
+    computes the price features, scores the row and appends the prediction to the row's own prices,
+    so no step shuffles. The small state is checkpointed every ``steps_per_stage`` steps to keep
+    plans short. With ``same_hour`` a step scores the newest known hour and labels it an hour later.
     """
     keys = list(spec.chunks.keys)
-    lengths = _state_lengths(spec, df.columns)
     state = origin_state(df, origins, spec).where(F.col("_known") >= max(spec.lags))
-    state = _with_holidays(state, keys, horizon, spec, same_hour)
-    kept = [c for c in state.columns if c != f"_{PRICE}"]
-    arrays = [c for c in lengths if c != PRICE]
-    ahead = F.col("_step") if not same_hour else F.col("_step") - 1
-    values = _step_features(spec, df.columns, same_hour)
-    values |= _calendar(spec, F.col("origin") + F.make_dt_interval(hours=ahead))
-    values |= {"is_holiday": F.element_at("_holidays", F.col("_step")), "is_holiday_eve": F.element_at("_eves", F.col("_step"))}
-    inputs = {f: values[f] for f in features}
-    carried = {f"_{c}": _push(F.col(f"_{c}"), _back(F.col(f"_{c}"), 1), lengths[c]) for c in arrays}
-    predicted = F.when(~F.isnan("y_pred"), F.col("y_pred"))
-    price = _push(F.col(f"_{PRICE}"), predicted, lengths[PRICE]).alias(f"_{PRICE}")
-    output = F.concat("_out", F.array(predicted)).alias("_out")
-    plain = [c for c in kept if c not in carried]
+    length = _state_lengths(spec, df.columns)[PRICE]
+    from_price = {f: c for f, c in _price_features(spec, same_hour).items() if f in features}
+    others = [f for f in features if f not in from_price]
+    state = _known_steps(state, others, df.columns, spec, horizon, same_hour)
 
+    inputs = {**from_price, **{f: F.element_at("_steps", F.col("_step"))[f] for f in others}}
+    predicted = F.when(~F.isnan("y_pred"), F.col("y_pred"))
+    following = [
+        *keys, "origin", "_steps", (F.col("_step") + 1).alias("_step"),
+        _last(F.concat(f"_{PRICE}", F.array(predicted)), length).alias(f"_{PRICE}"),
+        F.concat("_out", F.array(predicted)).alias("_out"),
+    ]
     state = state.withColumns({"_out": F.array().cast("array<double>"), "_step": F.lit(1)})
-    if not same_hour and carried:
-        state = state.withColumns(carried)
     for h in range(1, horizon + 1):
-        scored = score(model, state.withColumns(inputs))
-        following = [c.alias(n) for n, c in carried.items()]
-        state = scored.select(*plain, *following, price, output, (F.col("_step") + 1).alias("_step"))
+        state = score(model, state.withColumns(inputs)).select(*following)
         if h % steps_per_stage == 0 and h < horizon:
             state = checkpoint(state)
     rows = state.select(*keys, "origin", F.posexplode("_out").alias("_i", "y_pred"))
@@ -213,23 +212,25 @@ def forecast_recursive(
     )
 
 
-def _push(array: Column, value: Column, length: int) -> Column:
-    return _last(F.concat(array, F.array(value)), length)
-
-
-def _with_holidays(state: DataFrame, keys: list[str], horizon: int, spec: FeatureSpec, same_hour: bool) -> DataFrame:
-    """Attach the holiday flags of all steps as two arrays of ``horizon`` numbers."""
-    shift = 0 if same_hour else 1
-    hours = state.select(*keys, "origin", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("_i")).withColumn(
-        "_ts", F.col("origin") + F.make_dt_interval(hours=F.col("_i") + shift)
-    )
-    flagged = holiday_lookup(hours, "_ts", spec.tz, spec.years)
-    packed = flagged.groupBy(*keys, "origin").agg(
-        F.sort_array(F.collect_list(F.struct("_i", "is_holiday", "is_holiday_eve"))).alias("_p")
-    )
-    return state.join(
-        packed.select(*keys, "origin", F.col("_p.is_holiday").alias("_holidays"), F.col("_p.is_holiday_eve").alias("_eves")),
-        [*keys, "origin"],
+def _known_steps(
+    state: DataFrame, wanted: list[str], columns: list[str], spec: FeatureSpec, horizon: int, same_hour: bool
+) -> DataFrame:
+    """(keys, origin, _price, _steps): the wanted features of all steps, as one array of ``horizon`` structs."""
+    keys = list(spec.chunks.keys)
+    ahead = F.col("_step") - 1 if same_hour else F.col("_step")
+    lengths = {c: n for c, n in _state_lengths(spec, columns).items() if c != PRICE}
+    rows = state.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    rows = rows.withColumns({
+        "_ts": F.col("origin") + F.make_dt_interval(hours=ahead),
+        f"_{PRICE}": F.when(F.col("_step") == 1, F.col(f"_{PRICE}")),
+        **{f"_{c}": _last(F.concat(f"_{c}", F.array_repeat(_back(F.col(f"_{c}"), 1), ahead)), n) for c, n in lengths.items()},
+    })
+    rows = holiday_lookup(rows, "_ts", spec.tz, spec.years)
+    made = {**_carried_features(spec, columns), **_calendar(spec, F.col("_ts"))}
+    rows = rows.withColumns({f: made[f] for f in wanted if f in made})
+    return rows.groupBy(*keys, "origin").agg(
+        F.first(f"_{PRICE}", ignorenulls=True).alias(f"_{PRICE}"),
+        F.sort_array(F.collect_list(F.struct("_step", *wanted))).alias("_steps"),
     )
 
 

@@ -32,6 +32,10 @@ def _market(spark, sf_dir):
     return market.hourly_market(spark, sf_dir)
 
 
+def _stored_market(spark, sf_dir):
+    return market.stored(market.hourly_market(spark, sf_dir))
+
+
 def _price(spark, sf_dir):
     return _market(spark, sf_dir).select("zone", "ts", "price")
 
@@ -239,9 +243,9 @@ def feature_table(spark, sf_dir):
 SPLIT = "2024-01-25"
 
 
-def _strict_rows(spark, sf_dir):
+def _strict_rows(raw):
     """Next-hour features without the hour's own price, cut into training and test time."""
-    rows = features.build_features(_market(spark, sf_dir), forecast.strict_spec())
+    rows = features.build_features(raw, forecast.strict_spec())
     since = F.lit(SPLIT).cast("timestamp")
     return rows.where(F.col("ts") < since), rows.where(F.col("ts") >= since)
 
@@ -249,7 +253,7 @@ def _strict_rows(spark, sf_dir):
 @register("fit_gbt")
 def fit_gbt(spark, sf_dir):
     """Training and test error of the trees, per zone."""
-    train, test = _strict_rows(spark, sf_dir)
+    train, test = _strict_rows(_stored_market(spark, sf_dir))
     model = boosting.fit_gbt(train, MODEL_FEATURES, BOOST)
     parts = [boosting.evaluate(model, d).withColumn("part", F.lit(name)) for name, d in (("train", train), ("test", test))]
     return parts[0].unionByName(parts[1])
@@ -257,27 +261,27 @@ def fit_gbt(spark, sf_dir):
 
 @register("tune_rounds")
 def tune_rounds(spark, sf_dir):
-    rows = features.build_features(_market(spark, sf_dir), forecast.strict_spec())
+    rows = features.build_features(_stored_market(spark, sf_dir), forecast.strict_spec())
     folds, rounds = boosting.tune_rounds(rows, MODEL_FEATURES, BOOST)
     return folds.withColumn("final_rounds", F.lit(rounds))
 
 
 @register("predict_batch")
 def predict_batch(spark, sf_dir):
-    train, test = _strict_rows(spark, sf_dir)
+    train, test = _strict_rows(_stored_market(spark, sf_dir))
     model = boosting.fit_gbt(train, MODEL_FEATURES, BOOST)
     return boosting.score(model, test).select("zone", "ts", "price", "y_pred")
 
 
 @register("eval_single_step")
 def eval_single_step(spark, sf_dir):
-    train, test = _strict_rows(spark, sf_dir)
+    train, test = _strict_rows(_stored_market(spark, sf_dir))
     return boosting.evaluate(boosting.fit_gbt(train, MODEL_FEATURES, BOOST), test)
 
 
 @register("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    train, test = _strict_rows(spark, sf_dir)
+    train, test = _strict_rows(_stored_market(spark, sf_dir))
     model = boosting.fit_gbt(train, MODEL_FEATURES, BOOST)
     return boosting.permutation_importance(model, test, MODEL_FEATURES)
 
@@ -319,7 +323,7 @@ def _linear_model(train):
 
 @register("forecast_recursive")
 def forecast_recursive(spark, sf_dir):
-    raw = _market(spark, sf_dir)
+    raw = _stored_market(spark, sf_dir)
     spec = forecast.strict_spec()
     model = boosting.fit_gbt(features.build_features(raw, spec), MODEL_FEATURES, BOOST)
     return forecast.forecast_recursive(raw, forecast.latest_origins(raw), model, MODEL_FEATURES, spec)
@@ -328,7 +332,7 @@ def forecast_recursive(spark, sf_dir):
 @register("forecast_recursive_same_hour")
 def forecast_recursive_same_hour(spark, sf_dir):
     """The other known behaviour: features hold the current price and step 1 scores the last known hour."""
-    raw = _market(spark, sf_dir)
+    raw = _stored_market(spark, sf_dir)
     spec = features.FeatureSpec(rank="none")
     model = boosting.fit_gbt(features.build_features(raw, spec), MODEL_FEATURES, BOOST)
     return forecast.forecast_recursive(raw, forecast.latest_origins(raw), model, MODEL_FEATURES, spec, same_hour=True)
@@ -336,15 +340,15 @@ def forecast_recursive_same_hour(spark, sf_dir):
 
 @register("forecast_direct")
 def forecast_direct(spark, sf_dir):
-    raw = _market(spark, sf_dir)
+    raw = _stored_market(spark, sf_dir)
     spec = forecast.direct_spec(24)
     model = boosting.fit_gbt(features.build_features(raw, spec), MODEL_FEATURES, BOOST)
     return forecast.forecast_direct(raw, model, spec, 24)
 
 
 def _recursive_log(spark, sf_dir):
-    raw = _market(spark, sf_dir)
-    train, _ = _strict_rows(spark, sf_dir)
+    raw = _stored_market(spark, sf_dir)
+    train, _ = _strict_rows(raw)
     return forecast.evaluate_recursive(raw, _linear_model(train), MODEL_FEATURES, forecast.strict_spec())
 
 
@@ -356,8 +360,8 @@ def eval_recursive(spark, sf_dir):
 @register("single_vs_recursive")
 def single_vs_recursive(spark, sf_dir):
     """Both kinds of error over the test time, side by side."""
-    raw = _market(spark, sf_dir)
-    train, test = _strict_rows(spark, sf_dir)
+    raw = _stored_market(spark, sf_dir)
+    train, test = _strict_rows(raw)
     model = _linear_model(train)
     since = F.lit(SPLIT).cast("timestamp")
     single = boosting.score(model, test.na.drop("any")).select("zone", F.col("price").alias("y_true"), "y_pred")
@@ -370,8 +374,8 @@ def single_vs_recursive(spark, sf_dir):
 @register("forecast_overlay")
 def forecast_overlay(spark, sf_dir):
     """Three days of forecast from one origin per zone beside the actual prices."""
-    raw = _market(spark, sf_dir)
-    train, _ = _strict_rows(spark, sf_dir)
+    raw = _stored_market(spark, sf_dir)
+    train, _ = _strict_rows(raw)
     origin = F.lit("2024-01-24 23:00:00").cast("timestamp")
     origins = raw.select("zone").distinct().withColumn("origin", origin)
     ahead = forecast.forecast_recursive(raw, origins, _linear_model(train), MODEL_FEATURES, forecast.strict_spec(), 72)
@@ -415,13 +419,13 @@ def expanding_ols(spark, sf_dir):
 
 @register("backtest")
 def backtest(spark, sf_dir):
-    return walk.backtest(_market(spark, sf_dir), MODEL_FEATURES, WALK)["iterations"]
+    return walk.backtest(_stored_market(spark, sf_dir), MODEL_FEATURES, WALK)["iterations"]
 
 
 @register("backtest_predictions")
 def backtest_predictions(spark, sf_dir):
     """The prediction table of a walk-forward run with another regressor passed in."""
     make = lambda: LinearRegression(labelCol="price", predictionCol="y_pred", regParam=0.1)
-    return walk.backtest(_market(spark, sf_dir), MODEL_FEATURES, WALK, make)["predictions"]
+    return walk.backtest(_stored_market(spark, sf_dir), MODEL_FEATURES, WALK, make)["predictions"]
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import regular_grid, time_bounds
+from ..operators.windows import over_chunks
+from ..session import work_path
+from .sinks import sink_raw
 
 # Which band of the reading's key stands for which fuel: lower bound, upper bound (exclusive).
 FUEL_BANDS = {"solar": (0, 20), "wind": (20, 40), "gas": (40, 60), "hydro": (60, 80)}
@@ -79,14 +82,19 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_log(market: DataFrame) -> DataFrame:
     """Day-ahead persistence as a prediction log: zone, iteration, ts, horizon, y_true, y_pred."""
-    from ..operators.windows import time_lag_join
-
-    day = F.floor(F.unix_seconds("ts") / 86_400)
-    return time_lag_join(market.select("zone", "ts", "price"), "price", 24, "y_pred").select(
+    lagged = over_chunks(market.select("zone", "ts", "price"), 24, lambda w: {"y_pred": F.lag("price", 24).over(w)})
+    return lagged.select(
         "zone",
-        day.alias("iteration"),
+        F.floor(F.unix_seconds("ts") / 86_400).alias("iteration"),
         "ts",
         (F.hour("ts") + 1).alias("horizon"),
         F.col("price").alias("y_true"),
         "y_pred",
     )
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back, for jobs that pass over it many times."""
+    path = work_path(df.sparkSession, "market")
+    sink_raw(df, path)
+    return df.sparkSession.read.parquet(path).select(*df.columns)
