@@ -246,12 +246,71 @@ def flag_or(spark, sf_dir):
 # ── time-series statistics ──────────────────────────────────────────────────
 
 
-def _acf_sql(ctes, frm: str, value: str, lags: int, unit: str) -> str:
-    return sql([*ctes, f"s AS (SELECT zone, ts, {value} AS x FROM {frm} WHERE {value} IS NOT NULL)",
-                "m AS (SELECT zone, avg(x) AS mu, count(*) AS n, var_pop(x) AS v FROM s GROUP BY zone)",
-                "e AS (SELECT s.zone, ts, x - mu AS d, v, n FROM s JOIN m USING (zone))"],
-               f"""SELECT a.zone, l AS lag, sum(a.d * b.d) / any_value(a.n * a.v) AS acf FROM e a CROSS JOIN range(0, {lags + 1}) r(l)
-  JOIN e b ON b.zone = a.zone AND b.ts = a.ts - {unit}(CAST(l AS INT)) GROUP BY 1, 2""", "zone", "acf", "lag")
+def _acf_ctes(ctes, frm: str, value: str, lags: int, unit: str) -> list[str]:
+    return [*ctes, f"s AS (SELECT zone, ts, {value} AS x FROM {frm} WHERE {value} IS NOT NULL)",
+            "m AS (SELECT zone, avg(x) AS mu, count(*) AS n, var_pop(x) AS v FROM s GROUP BY zone)",
+            "e AS (SELECT s.zone, ts, x - mu AS d, v, n FROM s JOIN m USING (zone))",
+            f"""r AS (SELECT a.zone, l AS lag, sum(a.d * b.d) / any_value(a.n * a.v) AS acf FROM e a CROSS JOIN range(0, {lags + 1}) q(l)
+  JOIN e b ON b.zone = a.zone AND b.ts = a.ts - {unit}(CAST(l AS INT)) GROUP BY 1, 2)"""]
+
+
+def _acf_sql(*args) -> str:
+    return sql(_acf_ctes(*args), "SELECT * FROM r", "zone", "acf", "lag")
+
+
+# Partial autocorrelations by the order recursion, one order per step.
+PACF_SQL = sql([
+    *_acf_ctes(TOTAL, "market", "load", 72, "to_hours"),
+    "rl AS (SELECT zone, list(acf ORDER BY lag) FILTER (WHERE lag > 0) AS rho FROM r GROUP BY zone)",
+    """dl AS (SELECT zone, 0 AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS v, 1.0::DOUBLE AS p, rho FROM rl UNION ALL
+  SELECT zone, k + 1, list_concat(list_transform(phi, lambda x, i: x - nx * phi[k - i + 1]), [nx]), v * (1 - nx * nx), nx, rho FROM
+  (SELECT *, (rho[k + 1] - CASE WHEN k = 0 THEN 0 ELSE list_inner_product(phi, list_reverse(rho[1:k])) END) / v AS nx FROM dl WHERE k < 72))""",
+], "SELECT zone, k AS lag, p AS pacf FROM dl", "zone", "pacf", "lag")
+
+
+def _eliminate(name: str, rows: str) -> list[str]:
+    """One pivot per step on the cross-products of the lists ``z``; the last corner is the residual sum."""
+    return [
+        f"{name}c AS (SELECT zone, series, i, j, sum(z[i] * z[j]) AS v FROM (SELECT zone, series, z, unnest(range(1, len(z) + 1)) AS i FROM {rows}), "
+        f"range(1, 300) b(j) WHERE j <= len(z) GROUP BY ALL)",
+        f"{name}r AS (SELECT zone, series, i, list(v ORDER BY j) AS r FROM {name}c GROUP BY ALL)",
+        f"{name}m AS (SELECT zone, series, list(r ORDER BY i) AS m FROM {name}r GROUP BY ALL)",
+        f"{name} AS (SELECT zone, series, 0 AS p, m FROM {name}m UNION ALL SELECT zone, series, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p + 1 "
+        f"THEN list_transform(r, lambda x: x / m[p + 1][p + 1]) ELSE list_transform(r, lambda x, j: x - r[p + 1] * m[p + 1][j] / m[p + 1][p + 1]) END) "
+        f"FROM {name} WHERE p < len(m) - 1)",
+    ]
+
+
+def _poly(terms) -> str:
+    return " + ".join(f"({c}) * pow(statistic, {i})" for i, c in enumerate(terms))
+
+
+_NORMAL = ("0.5 + exp(-zz * zz / 2) / sqrt(2 * pi()) * sign(zz) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(abs(zz), 1e-300)) "
+           "- lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))")
+ADF_SQL = sql([
+    *TOTAL,
+    "lv AS (SELECT zone, ts, load, load - lag(load) OVER w AS load_diff_1, load - lag(load, 24) OVER w AS load_diff_24 FROM market "
+    "WINDOW w AS (PARTITION BY zone ORDER BY ts))",
+    "ser AS (" + " UNION ALL ".join(f"SELECT zone, '{c}' AS series, ts, {c} AS x FROM lv WHERE {c} IS NOT NULL" for c in ("load", "load_diff_1", "load_diff_24")) + ")",
+    "pos AS (SELECT zone, series, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY zone, series) AS n, lag(x) OVER w AS x1, x - lag(x) OVER w AS dx "
+    "FROM ser WINDOW w AS (PARTITION BY zone, series ORDER BY ts))",
+    "lg AS (SELECT *, least(n // 2 - 2, CAST(ceil(12 * pow(n / 100.0, 0.25)) AS BIGINT)) AS top, list_reverse(list(dx) OVER (PARTITION BY zone, series "
+    "ORDER BY t ROWS BETWEEN 254 PRECEDING AND 1 PRECEDING)) AS past FROM pos)",
+    "za AS (SELECT zone, series, list_concat([1.0::DOUBLE, x1], past[1:top], [dx]) AS z FROM lg WHERE t >= top + 1)",
+    *_eliminate("ea", "za"),
+    "best AS (SELECT ea.zone, ea.series, n, arg_min(p - 2, n1 * (ln(2 * pi() * m[len(m)][len(m)] / n1) + 1) + 2 * p) AS used FROM ea JOIN "
+    "(SELECT DISTINCT zone, series, n, n - top - 1 AS n1 FROM lg) q ON q.zone = ea.zone AND q.series = ea.series WHERE p >= 2 GROUP BY ALL)",
+    "zb AS (SELECT lg.zone, lg.series, list_concat([1.0::DOUBLE], past[1:used], [x1, dx]) AS z FROM lg JOIN best b ON b.zone = lg.zone AND b.series = lg.series "
+    "WHERE t >= used + 1)",
+    *_eliminate("eb", "zb"),
+    "st AS (SELECT a.zone, a.series, used AS lags_used, n - used - 1 AS observations, sign(a.m[len(a.m) - 1][len(a.m)]) * sqrt((a.m[len(a.m)][len(a.m)] "
+    "- b.m[len(b.m)][len(b.m)]) / (b.m[len(b.m)][len(b.m)] / (n - 2 * used - 3))) AS statistic FROM eb a JOIN eb b ON b.zone = a.zone AND b.series = a.series "
+    "AND b.p = a.p + 1 AND b.p = len(b.m) - 1 JOIN best ON best.zone = a.zone AND best.series = a.series)",
+    f"pz AS (SELECT *, CASE WHEN statistic <= {stats.ADF_TAU_SWITCH} THEN {_poly(stats.ADF_SMALL_P)} ELSE {_poly(stats.ADF_LARGE_P)} END AS zz FROM st)",
+], f"""SELECT zone, series, statistic, CASE WHEN statistic > {stats.ADF_TAU_RANGE[1]} THEN 1 WHEN statistic < {stats.ADF_TAU_RANGE[0]} THEN 0
+  WHEN zz < -8 THEN 0 ELSE {_NORMAL} END AS p_value, lags_used, observations, """ + ", ".join(
+    " + ".join(f"({c}) / pow(observations, {i})" for i, c in enumerate(cs)) + f" AS {name}" for name, cs in stats.ADF_CRITICAL.items()
+) + " FROM pz", "zone series", "statistic p_value crit_1 crit_5 crit_10", "lags_used observations", digits=4)
 
 
 @register("acf", _acf_sql(TOTAL, "market", "load", 400, "to_hours"))
@@ -264,7 +323,7 @@ def acf_by_zone(spark, sf_dir):
     return stats.acf(market.daily_orders(spark, sf_dir), "load", 60, DAY_CHUNKS)
 
 
-@register("pacf")
+@register("pacf", PACF_SQL)
 def pacf(spark, sf_dir):
     return stats.pacf(market.hourly_total(spark, sf_dir).select("zone", "ts", "load"), "load", 72)
 
@@ -278,7 +337,7 @@ def _adf(spark, sf_dir):
     return parts.unpivot(["zone", "ts"], ["load", "load_diff_1", "load_diff_24"], "series", "x")
 
 
-@register("adf")
+@register("adf", ADF_SQL, digits=4)
 def adf(spark, sf_dir):
     return stats.adf(_adf(spark, sf_dir), "x", Chunks(keys=("zone", "series")))
 
