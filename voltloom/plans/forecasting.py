@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest as walk
 from ..operators import baselines, boosting, features, forecast, linear, profiles
+from ..operators.reshape import median_impute
+from ..session import checkpoint
 from ..sources import market
 from .catalog import MARKET, TOTAL, register, sql
 from .clockwork import CYCLES, DST, HOLIDAYS, SHARE, SOLAR_RATIO, holiday_flags
@@ -100,11 +102,11 @@ def linear_features(spark, sf_dir):
     return baselines.linear_features(_total_price(spark, sf_dir))
 
 
-def least_squares(rows: str, by: str) -> list[str]:
+def least_squares(rows: str, by: str, names=tuple(LINEAR_NAMES)) -> list[str]:
     """Normal equations by elimination, one pivot per recursion step; a pivot lost to collinearity is
     skipped and its weight is zero, which leaves the fitted values as they are. Leaves ``coefs``."""
-    k = len(LINEAR_NAMES) + 1
-    z = "[1.0::DOUBLE, " + ", ".join(f"{c}::DOUBLE" for c in LINEAR_NAMES) + ", price::DOUBLE]"
+    k = len(names) + 1
+    z = "[1.0::DOUBLE, " + ", ".join(f"{c}::DOUBLE" for c in names) + ", price::DOUBLE]"
     keys = ", ".join(by.split())
     return [
         f"zrows AS (SELECT {keys}, {z} AS z FROM {rows})",
@@ -131,25 +133,64 @@ def fit_ols(spark, sf_dir):
     return linear.score_linear(matrix, coefs, LINEAR_NAMES).select("zone", "ts", "price", "y_pred")
 
 
-@register("fit_ridge_cv")
+RIDGE_NAMES = ["price_lag_24h", "price_lag_48h", "price_lag_168h", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+_K = len(RIDGE_NAMES)
+_DOT = "list_inner_product({}, z)".format
+RIDGE = [
+    *MARKET,
+    "fr AS (SELECT zone, ts, price, " + ", ".join(f"lag(price, {k}) OVER (PARTITION BY zone ORDER BY ts) AS price_lag_{k}h" for k in (24, 48, 168))
+    + f", {CYCLES['hour']}, {CYCLES['dow']} FROM market)",
+    "fm AS (SELECT zone, " + ", ".join(f"median({c}) AS {c}" for c in RIDGE_NAMES[:3]) + " FROM fr WHERE price IS NOT NULL GROUP BY zone)",
+    "fi AS (SELECT fr.zone, ts, price, [" + ", ".join(f"coalesce(fr.{c}, fm.{c})" for c in RIDGE_NAMES[:3]) + ", " + ", ".join(RIDGE_NAMES[3:])
+    + "]::DOUBLE[] AS x FROM fr JOIN fm ON fm.zone = fr.zone WHERE price IS NOT NULL)",
+    "fs AS (SELECT zone, avg(price) AS my, CAST(count(*) AS DOUBLE) AS n, [" + ", ".join(f"avg(x[{i + 1}])" for i in range(_K)) + "] AS mx, ["
+    + ", ".join(f"stddev_pop(x[{i + 1}])" for i in range(_K)) + "] AS sx FROM fi GROUP BY zone)",
+    "zr AS (SELECT fi.zone, ts, price, price - my AS y, my, n, list_transform(x, lambda v, i: (v - mx[i]) / sx[i]) AS z FROM fi JOIN fs ON fs.zone = fi.zone)",
+    f"ga AS (SELECT zone, i, j, sum(z[i] * z[j]) AS v, sum(z[i] * y) AS b FROM zr, range(1, {_K + 1}) a(i), range(1, {_K + 1}) b(j) GROUP BY ALL)",
+    "gl AS (SELECT zone, q, i, list_concat(list(v + CASE WHEN i = j THEN pow(10, -3 + 6 * q / 49.0) ELSE 0 END ORDER BY j), [any_value(b)], "
+    f"list_transform(range(1, {_K + 1}), lambda c: CASE WHEN c = i THEN 1.0 ELSE 0.0 END)) AS r FROM ga, range(0, 50) a(q) GROUP BY zone, q, i)",
+    "gm AS (SELECT zone, q, list(r ORDER BY i) AS m FROM gl GROUP BY zone, q)",
+    "ge AS (SELECT zone, q, 0 AS p, m FROM gm UNION ALL SELECT zone, q, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p + 1 "
+    "THEN list_transform(r, lambda v: v / m[p + 1][p + 1]) ELSE list_transform(r, lambda v, j: v - r[p + 1] * m[p + 1][j] / m[p + 1][p + 1]) END) "
+    f"FROM ge WHERE p < {_K})",
+    f"gs AS (SELECT zone, q, list_transform(m, lambda r: r[{_K + 1}]) AS w, list_transform(m, lambda r: r[{_K + 2}:{2 * _K + 1}]) AS inv FROM ge WHERE p = {_K})",
+    f"lo AS (SELECT gs.zone, q, avg(pow((y - {_DOT('w')}) / (1 - 1 / n - list_sum(list_transform(inv, lambda r, i: z[i] * {_DOT('r')}))), 2)) AS loo_mse "
+    "FROM zr JOIN gs ON gs.zone = zr.zone GROUP BY 1, 2)",
+    "bq AS (SELECT zone, arg_min(q, loo_mse) AS q, min(loo_mse) AS loo_mse FROM lo GROUP BY zone)",
+    f"rp AS (SELECT zr.zone, ts, price, my + {_DOT('w')} AS y_pred, pow(10, -3 + 6 * bq.q / 49.0) AS alpha, loo_mse FROM zr JOIN bq ON bq.zone = zr.zone "
+    "JOIN gs ON gs.zone = bq.zone AND gs.q = bq.q)",
+]
+
+
+def _ridge(spark, sf_dir):
+    """Lag and cyclical features with medians for missing lags, and the ridge fit on them."""
+    table = features.build_features(_price(spark, sf_dir), features.FeatureSpec())
+    rows = median_impute(table.where(F.col("price").isNotNull()).select("zone", "ts", "price", *RIDGE_NAMES), RIDGE_NAMES[:3])
+    rows = checkpoint(rows)  # the fit and the scoring pass over it several times
+    return rows, linear.fit_ridge_cv(rows, RIDGE_NAMES)
+
+
+@register("fit_ridge_cv", sql(RIDGE, """SELECT zone, any_value(alpha) AS alpha, any_value(loo_mse) AS loo_mse, avg(abs(price - y_pred)) AS mae,
+  sqrt(avg(pow(price - y_pred, 2))) AS rmse, count(*) AS rows FROM rp GROUP BY zone""", "zone", "alpha loo_mse mae rmse", "rows", digits=4), digits=4)
 def fit_ridge_cv(spark, sf_dir):
-    """Penalty, leave-one-out error and error of the fit on the linear features."""
-    matrix = baselines.linear_features(_total_price(spark, sf_dir))
-    fit = linear.fit_ridge_cv(matrix, LINEAR_NAMES)
-    scored = linear.score_linear(matrix, fit, LINEAR_NAMES).withColumn("y_true", F.col("price"))
-    return fit.select("zone", "alpha", "loo_mse").join(profiles.metrics_by(scored), "zone")
+    rows, fit = _ridge(spark, sf_dir)
+    scored = linear.score_linear(rows, fit, RIDGE_NAMES).withColumn("y_true", F.col("price"))
+    return fit.select("zone", "alpha", "loo_mse").join(profiles.metrics_by(scored), "zone").drop("mape", "smape")
 
 
-@register("ridge_impute_fit")
+@register("ridge_impute_fit", sql(RIDGE, "SELECT zone, ts, price, y_pred FROM rp", "zone ts", "price y_pred", digits=4), digits=4)
 def ridge_impute_fit(spark, sf_dir):
-    """Ridge on calendar and lag features with missing inputs set to their medians."""
-    from ..operators.reshape import median_impute
+    rows, fit = _ridge(spark, sf_dir)
+    return linear.score_linear(rows, fit, RIDGE_NAMES).select("zone", "ts", "price", "y_pred")
 
-    names = ["price_lag_24h", "price_lag_48h", "price_lag_168h", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
-    table = features.build_features(_price(spark, sf_dir), features.FeatureSpec())
-    rows = median_impute(table.where(F.col("price").isNotNull()).select("zone", "ts", "price", *names), names[:3])
-    fit = linear.fit_ridge_cv(rows, names)
-    return linear.score_linear(rows, fit, names).select("zone", "ts", "price", "y_pred")
+
+@register("ridge_linear_matrix")
+def ridge_linear_matrix(spark, sf_dir):
+    """Penalty, leave-one-out error and errors of the fit on the whole linear feature matrix."""
+    matrix = baselines.linear_features(_total_price(spark, sf_dir))
+    fit = linear.fit_ridge_cv(matrix, LINEAR_NAMES)
+    scored = linear.score_linear(matrix, fit, LINEAR_NAMES).withColumn("y_true", F.col("price"))
+    return fit.select("zone", "alpha", "loo_mse").join(profiles.metrics_by(scored), "zone")
 
 
 _BASE = """log AS (
@@ -317,8 +358,44 @@ def history_guard(spark, sf_dir):
     return forecast.history_guard(_price(spark, sf_dir), features.LAGS)
 
 
+# A linear model on six inputs, so that SQL can repeat fit and recursion.
+STEP_NAMES = ["price_lag_24h", "price_lag_168h", "price_roll_mean_24h", "load_roll24h", "hour_sin", "hour_cos"]
+
+
+def _ols():
+    return LinearRegression(labelCol="price", predictionCol="y_pred", solver="normal", regParam=0.0)
+
+
 def _linear_model(train):
-    return boosting.fit_model(train, MODEL_FEATURES, LinearRegression(labelCol="price", predictionCol="y_pred", regParam=0.1))
+    return boosting.fit_model(train, STEP_NAMES, _ols())
+
+
+_STEP_ROWS = [
+    *MARKET,
+    "rf AS (SELECT zone, ts, price, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY zone) AS n, lag(price, 24) OVER w AS price_lag_24h, "
+    "lag(price, 168) OVER w AS price_lag_168h, avg(price) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS price_roll_mean_24h, "
+    f"avg(load) {frame(24)} AS load_roll24h, {CYCLES['hour']} FROM market WINDOW w AS (PARTITION BY zone ORDER BY ts))",
+    "rk AS (SELECT * FROM rf WHERE price IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in STEP_NAMES) + ")",
+]
+_STEP_FIT = [*_STEP_ROWS, f"rt AS (SELECT *, 0 AS g FROM rk WHERE ts < TIMESTAMP '{SPLIT}')", *least_squares("rt", "g", STEP_NAMES)]
+
+
+def _recursion(origins: str, horizon: int, keys: str = "zone, origin", on: str = "true") -> list[str]:
+    """The recursion in SQL: ``rc`` holds one row per origin and step, ``ro`` the forecasts."""
+    hour = "hour(origin + to_hours(CAST(h + 1 AS INT)))"
+    return [
+        f"og AS ({origins})",
+        f"hs AS (SELECT {', '.join('og.' + k for k in keys.split(', '))}, list(m.price ORDER BY m.ts) AS pr, list(m.load ORDER BY m.ts)[-24:] AS ld FROM og "
+        f"JOIN market m ON m.zone = og.zone AND m.ts <= og.origin AND m.ts > og.origin - INTERVAL 337 HOUR GROUP BY ALL HAVING count(*) >= 336)",
+        f"rc AS (SELECT {keys}, 0 AS h, pr, ld, NULL::DOUBLE AS y FROM hs UNION ALL SELECT {keys}, h + 1, list_concat(pr[2:], [y2]), ld2, y2 FROM "
+        f"(SELECT q.*, c[1] + c[2] * pr[-24] + c[3] * pr[-168] + c[4] * list_avg(pr[-24:]) + c[5] * list_avg(ld2) + c[6] * sin(2 * pi() * {hour} / 24) "
+        f"+ c[7] * cos(2 * pi() * {hour} / 24) AS y2 FROM (SELECT *, list_concat(ld[2:], [ld[-1]]) AS ld2 FROM rc WHERE h < {horizon}) q JOIN coefs ON {on}))",
+        f"ro AS (SELECT {', '.join('rc.' + k for k in keys.split(', '))}, h AS horizon, origin + to_hours(CAST(h AS INT)) AS ts, y AS y_pred, price AS y_true FROM rc "
+        "LEFT JOIN market m ON m.zone = rc.zone AND m.ts = origin + to_hours(CAST(h AS INT)) WHERE h > 0)",
+    ]
+
+
+_BLOCKS = "SELECT zone, ts AS origin FROM rf WHERE pos >= 335 AND (pos - 335) % 24 = 0 AND pos + 1 < n - 24"
 
 
 @register("forecast_recursive")
@@ -346,39 +423,62 @@ def forecast_direct(spark, sf_dir):
     return forecast.forecast_direct(raw, model, spec, 24)
 
 
+@register("forecast_direct_linear", sql(
+    [*MARKET, ENDS, AHEAD, "grid AS (SELECT zone, ts, price, load FROM market UNION ALL SELECT zone, ts, NULL, NULL FROM ahead)",
+     "df AS (SELECT zone, ts, price, lag(price, 24) OVER w AS price_lag_24h, lag(price, 168) OVER w AS price_lag_168h, "
+     "avg(price) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING) AS price_roll_mean_24h, "
+     "avg(load) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING) AS load_roll24h, "
+     f"{CYCLES['hour']}, 0 AS g FROM grid WINDOW w AS (PARTITION BY zone ORDER BY ts))",
+     "dt AS (SELECT * FROM df WHERE price IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in STEP_NAMES) + ")",
+     *least_squares("dt", "g", STEP_NAMES)],
+    "SELECT a.zone, a.origin, a.horizon, a.ts, " + " + ".join(["c[1]", *[f"c[{i + 2}] * {c}" for i, c in enumerate(STEP_NAMES)]])
+    + " AS y_pred FROM ahead a JOIN df ON df.zone = a.zone AND df.ts = a.ts, coefs", "zone origin ts", "y_pred", "horizon", digits=4), digits=4)
+def forecast_direct_linear(spark, sf_dir):
+    raw = _stored_market(spark, sf_dir)
+    spec = forecast.direct_spec(24)
+    return forecast.forecast_direct(raw, _linear_model(features.build_features(raw, spec)), spec, 24)
+
+
 def _recursive_log(spark, sf_dir):
     raw = _stored_market(spark, sf_dir)
     train, _ = _strict_rows(raw)
-    return forecast.evaluate_recursive(raw, _linear_model(train), MODEL_FEATURES, forecast.strict_spec())
+    return forecast.evaluate_recursive(raw, _linear_model(train), STEP_NAMES, forecast.strict_spec())
 
 
-@register("eval_recursive")
+@register("eval_recursive", sql([*_STEP_FIT, *_recursion(_BLOCKS, 24)], "SELECT * FROM ro", "zone origin ts", "y_true y_pred", "horizon", digits=4), digits=4)
 def eval_recursive(spark, sf_dir):
     return _recursive_log(spark, sf_dir)
 
 
-@register("single_vs_recursive")
+@register("single_vs_recursive", sql([*_STEP_FIT, *_recursion(_BLOCKS, 24), f"""errs AS (SELECT *, y_true - y_pred AS error, abs(y_true - y_pred) AS abs_error FROM
+  (SELECT zone, 'single_step' AS mode, price AS y_true, c[1] + c[2] * price_lag_24h + c[3] * price_lag_168h + c[4] * price_roll_mean_24h + c[5] * load_roll24h
+     + c[6] * hour_sin + c[7] * hour_cos AS y_pred FROM rk, coefs WHERE ts >= TIMESTAMP '{SPLIT}'
+   UNION ALL SELECT zone, 'recursive', y_true, y_pred FROM ro WHERE ts >= TIMESTAMP '{SPLIT}') WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)"""],
+  "SELECT zone, mode, " + ", ".join(f"{e} AS {m}" for m, e in METRIC_SQL.items()) + ", count(*) AS rows FROM errs GROUP BY 1, 2",
+  "zone mode", "mae rmse mape smape", "rows", digits=4), digits=4)
 def single_vs_recursive(spark, sf_dir):
     """Both kinds of error over the test time, side by side."""
     raw = _stored_market(spark, sf_dir)
     train, test = _strict_rows(raw)
     model = _linear_model(train)
     since = F.lit(SPLIT).cast("timestamp")
-    single = boosting.score(model, test.na.drop("any")).select("zone", F.col("price").alias("y_true"), "y_pred")
-    steps = forecast.evaluate_recursive(raw, model, MODEL_FEATURES, forecast.strict_spec()).where(F.col("ts") >= since)
+    complete = test.select("zone", "price", *STEP_NAMES).na.drop("any")
+    single = boosting.score(model, complete).select("zone", F.col("price").alias("y_true"), "y_pred")
+    steps = forecast.evaluate_recursive(raw, model, STEP_NAMES, forecast.strict_spec()).where(F.col("ts") >= since)
     both = single.withColumn("mode", F.lit("single_step")).unionByName(
         steps.select("zone", "y_true", "y_pred", F.lit("recursive").alias("mode")))
     return profiles.metrics_by(both, ("zone", "mode"))
 
 
-@register("forecast_overlay")
+@register("forecast_overlay", sql([*_STEP_FIT, *_recursion("SELECT zone, TIMESTAMP '2024-01-24 23:00:00' AS origin FROM rf GROUP BY zone", 72)],
+                                  "SELECT * FROM ro", "zone origin ts", "y_true y_pred", "horizon", digits=4), digits=4)
 def forecast_overlay(spark, sf_dir):
     """Three days of forecast from one origin per zone beside the actual prices."""
     raw = _stored_market(spark, sf_dir)
     train, _ = _strict_rows(raw)
     origin = F.lit("2024-01-24 23:00:00").cast("timestamp")
     origins = raw.select("zone").distinct().withColumn("origin", origin)
-    ahead = forecast.forecast_recursive(raw, origins, _linear_model(train), MODEL_FEATURES, forecast.strict_spec(), 72)
+    ahead = forecast.forecast_recursive(raw, origins, _linear_model(train), STEP_NAMES, forecast.strict_spec(), 72)
     return forecast.with_actuals(ahead, raw)
 
 
@@ -422,10 +522,11 @@ def backtest(spark, sf_dir):
     return walk.backtest(_stored_market(spark, sf_dir), MODEL_FEATURES, WALK)["iterations"]
 
 
-@register("backtest_predictions")
+@register("backtest_predictions", sql(
+    [*_STEP_ROWS, _FOLDS, "ft AS (SELECT rk.*, iteration FROM rk JOIN f ON f.zone = rk.zone AND rk.pos < train_rows)", *least_squares("ft", "iteration", STEP_NAMES),
+     *_recursion("SELECT rf.zone, ts AS origin, iteration FROM rf JOIN f ON f.zone = rf.zone AND rf.pos = train_rows - 1", WALK.horizon, "zone, origin, iteration",
+                 "coefs.iteration = q.iteration")],
+    "SELECT zone, iteration, ts, horizon, y_true, y_pred, origin AS train_end FROM ro", "zone ts train_end", "y_true y_pred", "iteration horizon", digits=4), digits=4)
 def backtest_predictions(spark, sf_dir):
     """The prediction table of a walk-forward run with another regressor passed in."""
-    make = lambda: LinearRegression(labelCol="price", predictionCol="y_pred", regParam=0.1)
-    return walk.backtest(_stored_market(spark, sf_dir), MODEL_FEATURES, WALK, make)["predictions"]
-
-
+    return walk.backtest(_stored_market(spark, sf_dir), STEP_NAMES, WALK, _ols)["predictions"]
