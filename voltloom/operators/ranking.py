@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_count(df: DataFrame) -> int:
+    """A few buckets per shuffle partition, so that a bucket is no larger than a task's usual share."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_points(df: DataFrame, column: str, buckets: int) -> list[float]:
     """At most ``buckets - 1`` split values, from a bounded sketch."""
     wanted = [i / buckets for i in range(1, buckets)]
@@ -27,7 +32,7 @@ def _bucketed(counts: DataFrame, column: str, cuts: list[float]) -> DataFrame:
 
 
 def distinct_ranks(
-    df: DataFrame, keys: list[str], column: str, buckets: int = 64, counted: Column | None = None
+    df: DataFrame, keys: list[str], column: str, buckets: int | None = None, counted: Column | None = None
 ) -> DataFrame:
     """(keys, column, _n, _rows, _before, _total): per distinct value its count, the number of
     smaller values in the group, and the group's size. Only rows where ``counted`` holds are
@@ -37,7 +42,7 @@ def distinct_ranks(
     counts = present.groupBy(*keys, column).agg(
         (rows if counted is None else F.count_if(counted)).alias("_n"), rows.alias("_rows")
     )
-    counts = _bucketed(counts, column, cut_points(present, column, buckets))
+    counts = _bucketed(counts, column, cut_points(present, column, buckets or bucket_count(df)))
     sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = sizes.select(
@@ -62,7 +67,7 @@ def percent_rank(
     out: str,
     spread_by: str = "ts",
     hot_rows: int = 1_000_000,
-    buckets: int = 64,
+    buckets: int | None = None,
     counted: Column | None = None,
 ) -> DataFrame:
     """Rank with ties averaged, over the group's count; null values get null.
@@ -90,7 +95,7 @@ def percent_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], buckets: int = 64
+    df: DataFrame, keys: list[str], column: str, wanted: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles per group, e.g. ``{"median": 0.5}``."""
     ranks = distinct_ranks(df, keys, column, buckets)

@@ -91,7 +91,9 @@ PCT = ("CASE WHEN residual_load IS NOT NULL THEN (rank() OVER (PARTITION BY zone
 @register("residual_pct_rank", sql([*MARKET, RESIDUAL], f"SELECT zone, ts, {PCT} FROM res", "zone ts", "residual_load_pct"))
 def residual_pct_rank(spark, sf_dir):
     hourly = market.hourly_market(spark, sf_dir)
-    residual = hourly.select("zone", "ts", (F.col("load") - F.col("gen_solar") - F.col("gen_wind")).alias("residual_load"))
+    residual = market.stored(
+        hourly.select("zone", "ts", (F.col("load") - F.col("gen_solar") - F.col("gen_wind")).alias("residual_load"))
+    )  # the rank reads it three times
     return ranking.percent_rank(residual, ["zone"], "residual_load", "residual_load_pct").drop("residual_load")
 
 

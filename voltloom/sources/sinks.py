@@ -11,12 +11,13 @@ REPORTS = ("iterations", "daily", "per_hour", "per_horizon", "per_dow", "predict
 def sink_raw(df: DataFrame, path: str, ts="ts") -> None:
     """Parquet by date, rows of a zone together; a rerun replaces only the dates it holds.
 
-    Rows are range-partitioned on (date, zone), so a large date or zone is split over several tasks,
-    and a zone filter skips row groups. A folder per zone and date would hold 24 rows.
+    Rows of a date are brought together, and adaptive execution splits a large date and joins small
+    ones by their size. Sorted by zone, a zone filter skips row groups; a folder per zone and date
+    would hold 24 rows.
     """
     dated = df.withColumn("date", F.to_date(ts))
     (
-        dated.repartitionByRange("date", "zone", ts)
+        dated.hint("rebalance", "date")
         .sortWithinPartitions("date", "zone", ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -28,7 +29,8 @@ def sink_raw(df: DataFrame, path: str, ts="ts") -> None:
 def sink_forecast(df: DataFrame, path: str) -> None:
     """(zone, ts, forecast_eur_mwh) by reference date; a rerun replaces that date."""
     (
-        df.repartitionByRange("reference_date", "zone", "ts")
+        df.hint("rebalance", "reference_date")
+        .sortWithinPartitions("reference_date", "zone", "ts")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("reference_date")
