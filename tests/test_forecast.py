@@ -127,6 +127,15 @@ def test_trees_rounds_and_importance(spark):
     assert boosting.evaluate(model, rows).toPandas()["mae"].max() < 20
 
 
+def test_short_series_are_not_trained(spark):
+    frame = pd.concat([hourly(120, ("A",)), hourly(60, ("B",))])
+    rows = features.build_features(to_spark(spark, frame), replace(SPEC, price_shift=1))
+    kept = boosting.trainable_rows(rows, NAMES, 30).select("zone").distinct().collect()
+    assert [r.zone for r in kept] == ["A"]  # B has 12 complete rows
+    with pytest.raises(ValueError, match="needs at least 500"):
+        boosting.trainable_rows(rows, NAMES, 500)
+
+
 def test_best_round_has_patience():
     assert boosting.best_round([5, 4, 3, 4, 4, 1], 2) == 2
     assert boosting.best_round([5, 4, 3, 4, 4, 1], 9) == 5

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from .lookups import salted_lookup
+from .reshape import count_guard, guard_message
 from .windows import DEFAULT, Chunks, positions
 
 
@@ -70,6 +72,22 @@ def fit_model(train: DataFrame, features: list[str], estimator: Estimator, label
         rows.unpersist()
 
 
+def trainable_rows(
+    df: DataFrame, features: list[str], at_least: int, label: str = "price", keys=("zone",), spread_by=("ts",)
+) -> DataFrame:
+    """Complete rows of the series that have ``at_least`` of them; fails if no series does.
+
+    ``reshape.count_guard`` on the complete rows lists the series left out.
+    """
+    complete = df.na.drop("any", subset=[*features, label])
+    sizes = count_guard(complete, at_least, keys)
+    most = sizes.agg(F.max("rows")).first()[0] or 0
+    if most < at_least:
+        raise ValueError(guard_message(most, at_least, "training"))
+    kept = salted_lookup(complete, sizes.select(*keys, "enough"), list(keys), spread_by)
+    return kept.where("enough").drop("enough")
+
+
 def fit_gbt(
     train: DataFrame, features: list[str], config: BoostConfig = BoostConfig(), label: str = "price",
     rounds: int | None = None,

@@ -295,6 +295,7 @@ def _strict_rows(raw):
 def fit_gbt(spark, sf_dir):
     """Training and test error of the trees, per zone."""
     train, test = _strict_rows(_stored_market(spark, sf_dir))
+    train = boosting.trainable_rows(train, MODEL_FEATURES, BOOST.min_train_size)
     model = boosting.fit_gbt(train, MODEL_FEATURES, BOOST)
     parts = [boosting.evaluate(model, d).withColumn("part", F.lit(name)) for name, d in (("train", train), ("test", test))]
     return parts[0].unionByName(parts[1])
