@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,10 +21,32 @@ _RUNTIME_CONF = {
     "spark.sql.constraintPropagation.enabled": "false",
 }
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers of the application once, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="voltloom-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "voltloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for top, dirs, names in os.walk(package):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(top, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every operator relies on."""
+    """Ship the package and apply the runtime settings every operator relies on."""
+    ship(spark)
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
