@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import few, ranked, stored
+from .tables import BROADCAST_ROWS, few, ranked, stored
 
 #: Fixed values of the mix.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -71,10 +71,10 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done"),
     )
     state = stored(start, "mix-tilt")
+    side = F.broadcast if state.count() <= BROADCAST_ROWS else lambda t: t
     words = (F.col("size") * F.col("n")).cast("double")
     for _ in range(STEPS):
-        s = few(state)
-        joined = sizes.join(s.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where(~F.col("done"))
+        joined = sizes.join(side(state).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where(~F.col("done"))
         r = rate(F.col("tilt"), F.col("size"), F.col("mean"))
         slope = F.when(r < MOST_COPIES, words * r * F.col("size") / F.col("mean")).otherwise(0.0)
         sums = joined.groupBy(F.col("source").alias("_s")).agg(F.sum((words * r).cast(_EXACT)).cast("double").alias("got"), F.sum(slope.cast(_EXACT)).cast("double").alias("slope"))
