@@ -234,8 +234,11 @@ def join(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = stored(found, "near-classes")
     all_rows = rows.select(F.col(names["row"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     placed = all_rows.join(found, "row", "left").withColumn("class", F.coalesce("class", "row"))
-    ids = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(ids, "class").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # Written, so that the join can split a class with many rows; a row alone is its own class.
+    shared = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("c")).where("c > 1")
+    shared = few(stored(shared.select(F.col("class").alias("_class"), "class_id", "c"), "near-ids"))
+    found = placed.join(shared, F.col("class") == F.col("_class"), "left")
+    return found.select("doc_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def dedupe(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
