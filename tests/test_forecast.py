@@ -175,3 +175,21 @@ def test_failed_folds_are_reported(spark):
     status = {r.iteration: r for r in out["status"].collect()}
     assert status[0].status == "failed" and "does not fit" in status[0].error and status[1].status == "ok"
     assert {r.iteration for r in out["iterations"].select("iteration").distinct().collect()} == {1}
+
+
+def test_importance_does_not_shrink_with_more_series(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"z{z}", t, float(x), float(10 * x + rng.normal())) for z in range(60) for t, x in enumerate(rng.normal(size=40))]
+    df = spark.createDataFrame(rows, "zone string, ts long, x double, price double")
+    model = boosting.fit_model(df, ["x"], LinearRegression(labelCol="price", featuresCol="features", predictionCol="y_pred"))
+    whole = boosting.permutation_importance(model, df, ["x"]).agg({"importance": "avg"}).first()[0]
+    small = boosting.permutation_importance(model, df, ["x"], block_rows=50).agg({"importance": "avg"}).first()[0]
+    assert small == pytest.approx(whole, rel=0.05) and small > 100
+
+
+def test_incomplete_rows_get_no_prediction(spark):
+    df = spark.createDataFrame([("A", i, float(i), float(i)) for i in range(20)] + [("A", 20, None, 5.0)], "zone string, ts long, x double, price double")
+    model = boosting.fit_model(df, ["x"], LinearRegression(labelCol="price", featuresCol="features", predictionCol="y_pred"))
+    got = {r.ts: r.y_pred for r in boosting.score(model, df).collect()}
+    assert got[20] is None and got[3] == pytest.approx(3.0, abs=1e-3)
+    assert boosting.evaluate(model, df.withColumn("other", F.lit(None).cast("double"))).first()["rows"] == 20

@@ -38,7 +38,7 @@ class BoostConfig:
 
 
 def assembler(features: list[str]) -> VectorAssembler:
-    """A missing input stays NaN, which the trees send down one fixed side."""
+    """A missing input stays NaN; ``score`` gives no prediction for such a row."""
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 
 
@@ -147,8 +147,12 @@ def tune_rounds(
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Independent prediction of every row, as ``y_pred``."""
-    return model.transform(df).drop("features")
+    """Independent prediction of every row, as ``y_pred``; null where an input is missing, as training saw no such row."""
+    complete = F.lit(True)
+    for name in model.stages[0].getInputCols():
+        value = F.col(f"`{name}`").cast("double")
+        complete = complete & value.isNotNull() & ~F.isnan(value)
+    return model.transform(df).drop("features").withColumn("y_pred", F.when(complete, F.col("y_pred")))
 
 
 def permutation_importance(
@@ -163,9 +167,10 @@ def permutation_importance(
     """
     keys = list(keys)
     rows = df.select(*keys, *[c for c in spread_by if c not in keys], *features, label).na.drop("any")
-    blocks = max(1, rows.count() // block_rows)
+    # Blocks per series: a block holds about block_rows rows of its series, whatever the number of series.
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / block_rows)).alias("_blocks"))
     draw = F.xxhash64(*keys, *spread_by, F.lit(seed))
-    placed = rows.withColumns({"_block": F.pmod(draw, F.lit(blocks)), "_order": F.xxhash64(draw, F.lit(seed))})
+    placed = rows.join(sizes, keys).withColumns({"_block": F.pmod(draw, F.col("_blocks")), "_order": F.xxhash64(draw, F.lit(seed))})
     w = Window.partitionBy(*keys, "_block").orderBy("_order", *spread_by)
     packed = F.struct(*features)
     moved = placed.withColumn(
@@ -189,8 +194,9 @@ def permutation_importance(
 
 
 def evaluate(model: PipelineModel, df: DataFrame, label: str = "price", keys=("zone",)) -> DataFrame:
-    """Single-step errors per series over complete rows."""
-    scored = score(model, df.na.drop("any")).withColumn("y_true", F.col(label))
+    """Single-step errors per series over rows whose inputs and label are complete."""
+    needed = [*model.stages[0].getInputCols(), label]
+    scored = score(model, df.na.drop("any", subset=needed)).withColumn("y_true", F.col(label))
     return scored.groupBy(*keys).agg(*metrics.all_metrics(), F.count(F.lit(1)).alias("rows"))
 
 
