@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import few, small_batches
+from .tables import few, small_batches, stored
 from .text_hash import mix, word_hashes
 
 WORDS, PAIRS = 1 << 18, 1 << 20
+#: Buckets that the driver takes at once.
+RANGE = 200_000
 #: Share of the bigram's own frequency, and pseudo-counts of a word.
 OWN, SMOOTH = 0.6, 0.5
 
@@ -86,9 +88,11 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[Model, Model]:
     sums = rows.select("text", "trusted").mapInPandas(count, "bucket int, background long, target long").groupBy("bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     n = WORDS + WORDS + 1 + PAIRS
     counts = np.zeros((2, n))
-    # At most one row per bucket reaches the driver, a part at a time.
-    table = sums.toPandas()
-    counts[:, table.bucket.to_numpy()] = table[["target", "background"]].to_numpy().T
+    # At most one row per bucket reaches the driver, a range of buckets at a time.
+    sums = stored(sums, "lm-counts")
+    for at in range(0, n, RANGE):
+        table = sums.where(F.col("bucket").between(at, at + RANGE - 1)).toPandas()
+        counts[:, table.bucket.to_numpy()] = table[["target", "background"]].to_numpy().T
     if not counts[0].any():
         counts[0] = counts[1]  # nothing is trusted: the models differ only by the text's own counts
     cut = lambda c: Model(c[:WORDS], c[WORDS : 2 * WORDS + 1], c[2 * WORDS + 1 :])
