@@ -9,14 +9,21 @@ from ..session import ship, work_path
 
 #: Rows of a Python batch; whole texts of any length must fit in a worker's memory this many at a time.
 BATCH_ROWS = 512
+#: Bytes of a batch, unless a single row is longer.
+BATCH_BYTES = 4 << 20
+#: A worker gives freed memory back to the machine instead of keeping it for later tasks.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: A side with at most this many rows of a few numbers each may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Limit the rows that Spark hands to a Python worker at once, and make sure that workers have this package."""
+    """Limit what Spark hands to a Python worker at once and what the worker keeps, and make sure that workers have this package."""
     ship(spark)
+    for name, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
