@@ -174,7 +174,7 @@ def test_failed_folds_are_reported(spark):
     out = backtest.backtest(df, NAMES, config, lambda: next(turn), replace(SPEC, price_shift=1), workers=1)
     status = {r.iteration: r for r in out["status"].collect()}
     assert status[0].status == "failed" and "does not fit" in status[0].error and status[1].status == "ok"
-    assert {r.iteration for r in out["iterations"].select("iteration").distinct().collect()} == {1}
+    assert {(r.iteration, r.run_status, r.zone is None) for r in out["iterations"].collect()} == {(0, "failed", True), (1, "ok", False)}
 
 
 def test_importance_does_not_shrink_with_more_series(spark):

@@ -76,6 +76,22 @@ def test_expanding_fits_equal_one_fit_per_fold(spark):
         assert part.sort_values("ts")["horizon"].tolist() == list(range(1, 25))
 
 
+def test_a_fold_without_new_complete_rows_uses_the_fit_before_it(spark):
+    frame = hourly(260, ("A", "B"))
+    gap = frame.groupby("zone").cumcount().between(100, 139)
+    frame.loc[gap & (frame.zone == "A"), "load"] = np.nan  # the whole step of fold 1
+    frame.loc[frame.zone == "B", "load"] = np.nan
+    config = backtest.BacktestConfig(train_min=100, step=40, horizon=24)
+    got = backtest.expanding_ols(to_spark(spark, frame), NAMES, config).toPandas()
+    assert got.groupby("zone").iteration.unique().map(sorted).to_dict() == {"A": [0, 1, 2, 3], "B": [0, 1, 2, 3]}
+    assert got[got.zone == "B"].y_pred.isna().all()
+    x, y = arrays(frame, "A")
+    b = np.linalg.lstsq(np.column_stack([np.ones(100), x[:100]]), y[:100], rcond=None)[0]
+    part = got[(got.zone == "A") & (got.iteration == 1)].sort_values("ts")
+    rows = frame[frame.zone == "A"].iloc[140:164]
+    np.testing.assert_allclose(part["y_pred"], b[0] + rows[NAMES].to_numpy() @ b[1:], rtol=1e-6)
+
+
 def test_test_blocks_longer_than_the_step_overlap(spark):
     config = backtest.BacktestConfig(train_min=20, step=10, horizon=24)
     rows = backtest.test_rows(to_spark(spark, hourly(80)), config).groupBy("iteration").count().orderBy("iteration").collect()

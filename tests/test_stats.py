@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import hourly, to_spark
+from pyspark.sql import functions as F
 
 from voltloom.operators import stats
 from voltloom.operators.windows import Chunks
@@ -84,6 +85,19 @@ def test_adf_drops_gaps_first(spark):
     assert stats.adf(framed(spark, with_gaps), "x").first().statistic == pytest.approx(stats.adf(framed(spark, x), "x").first().statistic)
 
 
+def test_adf_lag_rule_has_no_upper_bound():
+    assert stats.adf_max_lag(100_000_000) == 380
+
+
+def test_adf_of_a_short_series_beside_a_long_one(spark):
+    long, short = series(300, 5).cumsum(), series(60, 6)
+    both = framed(spark, long).withColumn("zone", F.lit("long")).unionByName(framed(spark, short).withColumn("zone", F.lit("short")))
+    got = {r.zone: r for r in stats.adf(both, "x").collect()}
+    for zone, x in (("long", long), ("short", short)):
+        stat, used, rows = adf_by_hand(x)
+        assert got[zone].statistic == pytest.approx(stat, rel=1e-5) and (got[zone].lags_used, got[zone].observations) == (used, rows)
+
+
 def test_adf_p_value_known_points():
     assert stats.adf_p_value(-2.86154) == pytest.approx(0.05, abs=2e-3)
     assert stats.adf_p_value(-3.43035) == pytest.approx(0.01, abs=2e-3)

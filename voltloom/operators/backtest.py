@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -90,8 +90,6 @@ def fold_statistics(df: DataFrame, value: str, config: BacktestConfig, keys=("zo
     Training sides come from running sums over the fold steps, so a row is read once and not once
     for every fold it belongs to.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     sums = fold_step(df, config, keys, ts).groupBy(*keys, "step").agg(
         F.sum(value).alias("_s"), F.count(value).alias("_c"), F.count(F.lit(1)).alias("_r"))
@@ -106,11 +104,20 @@ def fold_statistics(df: DataFrame, value: str, config: BacktestConfig, keys=("zo
 def expanding_ols(
     df: DataFrame, features: list[str], config: BacktestConfig, label="price", keys=("zone",), ts="ts"
 ) -> DataFrame:
-    """(keys, iteration, ts, horizon, y_true, y_pred): a linear model for every fold, all in one job."""
+    """(keys, iteration, ts, horizon, y_true, y_pred): a linear model for every fold, all in one job.
+
+    A step without complete rows adds nothing to train on, so its fold uses the newest fit before it. A fold with
+    no complete row at all comes back with null predictions.
+    """
     keys = list(keys)
     fits = linear.expanding_fits(fold_step(df, config, keys, ts), features, label, "step", keys)
+    fits = fits.select(*keys, F.col("step").cast("bigint").alias("iteration"), "coef")
+    folds = fold_table(df, config, keys, ts).select(*keys, "iteration", F.lit(None).cast("array<double>").alias("coef"))
+    along = Window.partitionBy(*keys).orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
+    each = folds.unionByName(fits).groupBy(*keys, "iteration").agg(F.first("coef", ignorenulls=True).alias("coef"))
+    latest = each.withColumn("coef", F.last("coef", ignorenulls=True).over(along))
     test = test_rows(df, config, keys, ts)
-    scored = test.join(fits.withColumnRenamed("step", "iteration").select(*keys, "iteration", "coef"), [*keys, "iteration"])
+    scored = test.join(latest, [*keys, "iteration"])
     return scored.select(
         *keys, "iteration", ts, "horizon", F.col(label).alias("y_true"), linear.linear_value(features).alias("y_pred")
     )
@@ -126,10 +133,10 @@ def backtest(
 ) -> dict[str, DataFrame]:
     """Fit, single-step errors and recursive forecast for every fold.
 
-    Returns ``iterations`` (one row per series and fold), ``predictions`` (one per series, fold and
-    hour) and ``status`` (one per fold). The feature table is written once and read by every fold;
+    Returns ``iterations`` (one row per series and fold, with the fold's ``run_status``; a failed fold has one row of
+    nulls), ``predictions`` (one per series, fold and hour) and ``status`` (one per fold). The feature table is written once and read by every fold;
     folds are separate Spark jobs, started side by side, and append to one table. A fold that fails
-    is reported in ``status`` with its error and leaves no rows.
+    is reported in ``status`` with its error and leaves no predictions.
     """
     spark = df.sparkSession
     spec = spec or strict_spec()
@@ -174,6 +181,7 @@ def backtest(
             "train_rows": F.col("iteration") * config.step + config.train_min,
         }
     ).drop("first_test")
+    iterations = status.select("iteration", F.col("status").alias("run_status")).join(iterations, "iteration", "left")
     forecasts = spark.read.option("basePath", f"{base}/forecasts").parquet(*[f"{base}/forecasts/iteration={i}" for i in good])
     predictions = with_actuals(forecasts, df, "price", keys, ts).withColumnRenamed("origin", "train_end")
     return {"iterations": iterations, "predictions": predictions, "status": status}

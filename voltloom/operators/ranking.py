@@ -73,14 +73,15 @@ def percent_rank(
     """Rank with ties averaged, over the group's count; null values get null.
 
     With ``counted`` the rank is against those rows only (say, the training period); a value that
-    does not occur there takes the place between its neighbours.
+    does not occur there gets the share of those rows that are smaller.
 
     Ranks come back by value. Values with ``hot_rows`` rows or more number at most
     rows / hot_rows, so those few are broadcast; all other rows meet their rank in a shuffle
     join, with hot and null rows scattered over spare keys.
     """
+    place = F.col("_before") + F.when(F.col("_n") > 0, (F.col("_n") + 1) / 2.0).otherwise(0.0)
     ranks = distinct_ranks(df, keys, column, buckets, counted).select(
-        *keys, column, "_rows", F.try_divide((F.col("_before") + (F.col("_n") + 1) / 2.0), F.col("_total")).alias(out)
+        *keys, column, "_rows", F.try_divide(place, F.col("_total")).alias(out)
     )
     hot = ranks.where(F.col("_rows") >= hot_rows).select(*keys, column, F.col(out).alias("_hot"))
     cold = ranks.where(F.col("_rows") < hot_rows).select(*keys, column, F.lit(0).cast("bigint").alias("_salt"), out)

@@ -31,7 +31,6 @@ ADF_CRITICAL = {
 }
 KPSS_CRITICAL = (0.347, 0.463, 0.574, 0.739)
 KPSS_P = (0.10, 0.05, 0.025, 0.01)
-ADF_MAX_LAG = 254  # enough for series of twenty million rows under the usual lag rule
 
 
 def _lag_rows(keys: list[str], df: DataFrame) -> T.StructType:
@@ -121,7 +120,7 @@ def pacf(df: DataFrame, value: str, max_lag: int = 72, chunks: Chunks = DEFAULT)
 
 
 def adf_max_lag(n: int) -> int:
-    return min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25), ADF_MAX_LAG)
+    return min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25))
 
 
 def adf_p_value(stat: float) -> float:
@@ -182,6 +181,8 @@ def adf(df: DataFrame, value: str, chunks: Chunks = DEFAULT) -> DataFrame:
     keys = list(chunks.keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, chunks.ts, F.col(value).cast("double").alias("_x"))
     rows = positions(present, chunks, "_pos", "_total").select(*keys, "_pos", "_total", "_x")
+    longest = present.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    widest = max(adf_max_lag(longest), 0)  # the rule grows with the rows, so no series needs more
     by_pos = Chunks(chunks.keys, ts="_pos", size=chunks.size, index="_pos")
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("gram", T.ArrayType(T.DoubleType()))])
 
@@ -196,11 +197,11 @@ def adf(df: DataFrame, value: str, chunks: Chunks = DEFAULT) -> DataFrame:
         total = (z.T @ z)[np.triu_indices(lags + 3)]
         return pd.DataFrame([(*key[:-1], total.tolist())], columns=[*keys, "gram"])
 
-    partial = spread(rows, ADF_MAX_LAG + 1, by_pos).groupBy(*keys, "_chunk").applyInPandas(per_chunk, schema)
+    partial = spread(rows, widest + 1, by_pos).groupBy(*keys, "_chunk").applyInPandas(per_chunk, schema)
     cells = partial.select(*keys, F.posexplode("gram").alias("cell", "value"))
     grams = gram_rows(cells.groupBy(*keys, "cell").agg(F.sum("value").alias("value")), keys)
     heads = (
-        rows.where(F.col("_pos") <= ADF_MAX_LAG)
+        rows.where(F.col("_pos") <= widest)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_x"))).alias("h"), F.max("_total").alias("n"))
         .select(*keys, F.col("h._x").alias("head"), "n")
