@@ -33,6 +33,12 @@ def smape(y: str = "y_true", p: str = "y_pred") -> Column:
     return F.avg(F.when(half > MAPE_FLOOR, F.try_divide(F.abs(a - b), half))) * 100.0
 
 
+def pinball(y: str, p: str, quantile: float) -> Column:
+    """Loss of ``p`` as a forecast of a quantile: errors below and above cost by its two sides."""
+    a, b = _pair(y, p)
+    return F.avg(F.greatest(F.lit(quantile) * (a - b), F.lit(quantile - 1.0) * (a - b)))
+
+
 def all_metrics(y: str = "y_true", p: str = "y_pred") -> list[Column]:
     return [
         mae(y, p).alias("mae"),
