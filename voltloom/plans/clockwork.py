@@ -100,15 +100,28 @@ def resample_hourly(spark, sf_dir):
     return grid.regular_grid(means, bounds=grid.time_bounds(events))
 
 
-@register("resample_stream", sql([READINGS], """SELECT zone, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY 1, 2
-  HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM readings) - INTERVAL 1 HOUR""", "zone ts", "value"))
-def resample_stream(spark, sf_dir):
-    """The same means from a stream of the readings; hours still open at its end are not written."""
+def _live(spark, sf_dir):
     source = market.read_table(spark, sf_dir, "events")
-    live = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(
+    return spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(
         F.col("event_type").alias("zone"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@register("resample_stream", sql([READINGS], "SELECT zone, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY 1, 2",
+                                 "zone ts", "value"))
+def resample_stream(spark, sf_dir):
+    """The same means from a stream of the readings, hours still open at its end included."""
+    base = work_path(spark, "stream")
+    run = resample.write_updates(resample.resample_stream(_live(spark, sf_dir), ["value"]), f"{base}/out", f"{base}/state")
+    run.awaitTermination()
+    return resample.newest(spark.read.parquet(f"{base}/out"))
+
+
+@register("resample_stream_final", sql([READINGS], """SELECT zone, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY 1, 2
+  HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM readings) - INTERVAL 1 HOUR""", "zone ts", "value"))
+def resample_stream_final(spark, sf_dir):
+    """Only the hours that no later reading can change."""
     base = work_path(spark, "stream")
-    run = resample.write_stream(resample.resample_stream(live, ["value"]), f"{base}/out", f"{base}/state")
+    run = resample.write_stream(resample.resample_stream(_live(spark, sf_dir), ["value"]), f"{base}/out", f"{base}/state")
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 

@@ -90,20 +90,37 @@ def landed_load(spark, sf_dir):
 _FUEL_SQL = ["gen_solar", "gen_wind_onshore", "gen_fossil_gas", "gen_hydro_water_reservoir", "gen_other"]
 
 
-@register("landed_generation", sql(
-    [READINGS],
-    "SELECT zone, date_trunc('hour', ts) AS ts, " + ", ".join(
-        f"avg(value) FILTER (WHERE CAST(floor(k / 20) AS INT) = {i}) AS {c}" for i, c in enumerate(_FUEL_SQL)
-    ) + f" FROM readings WHERE ts >= TIMESTAMP '{FROM}' AND ts < TIMESTAMP '{TO}' GROUP BY 1, 2",
-    "zone ts", " ".join(_FUEL_SQL)))
-def landed_generation(spark, sf_dir):
+def _fuel_sql(columns: dict[str, str]) -> str:
+    wanted = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    return f"SELECT zone, date_trunc('hour', ts) AS ts, {wanted} FROM readings WHERE ts >= TIMESTAMP '{FROM}' AND ts < TIMESTAMP '{TO}' GROUP BY 1, 2"
+
+
+_FUEL_MEANS = {c: f"avg(value) FILTER (WHERE CAST(floor(k / 20) AS INT) = {i})" for i, c in enumerate(_FUEL_SQL)}
+
+
+def _landed_fuels(spark, sf_dir):
     events = market.readings(spark, sf_dir)
     names = F.array(*[F.lit(f) for f in FUEL_NAMES])
     tidy = events.groupBy(
         "zone", F.date_trunc("hour", "ts").alias("ts"), F.element_at(names, F.floor(F.col("k") / 20).cast("int") + 1).alias("fuel")
     ).agg(F.avg("value").alias("mw"))
-    path = _land(spark, tidy, "generation")
-    return landing.landed_generation(spark, path, FUEL_NAMES, FROM, TO)
+    return _land(spark, tidy, "generation")
+
+
+@register("landed_generation", sql([READINGS], _fuel_sql(_FUEL_MEANS), "zone ts", " ".join(_FUEL_SQL)))
+def landed_generation(spark, sf_dir):
+    return landing.landed_generation(spark, _landed_fuels(spark, sf_dir), FUEL_NAMES, FROM, TO)
+
+
+_REST = " + ".join(f"coalesce({m}, 0)" for m in list(_FUEL_MEANS.values())[2:])
+_ANY = "count(*) FILTER (WHERE CAST(floor(k / 20) AS INT) >= 2)"
+_LISTED = {c: _FUEL_MEANS[c] for c in _FUEL_SQL[:2]}
+
+
+@register("landed_generation_rest", sql(
+    [READINGS], _fuel_sql(_LISTED | {"gen_unlisted": f"CASE WHEN {_ANY} > 0 THEN {_REST} END"}), "zone ts", " ".join([*_LISTED, "gen_unlisted"])))
+def landed_generation_rest(spark, sf_dir):
+    return landing.landed_generation(spark, _landed_fuels(spark, sf_dir), FUEL_NAMES[:2], FROM, TO, rest="gen_unlisted")
 
 
 _FLOWS = """flows AS (SELECT l_shipdate AS ts, a.r_name AS out_zone, b.r_name AS in_zone, sum(l_quantity) AS mw

@@ -71,11 +71,22 @@ def fuel_column(fuel: Column) -> Column:
     return F.concat(F.lit("gen_"), F.regexp_replace(F.lower(fuel), " ", "_"))
 
 
-def landed_generation(spark: SparkSession, path: str, fuels: list[str], start, end, zone: str | None = None) -> DataFrame:
-    """One column ``gen_<fuel>`` per listed fuel. The list is fixed, so the pivot needs no extra pass."""
-    tidy = scan_hourly(spark, path, GENERATION_SCHEMA, zone, start, end)
+def landed_generation(
+    spark: SparkSession, path: str, fuels: list[str], start, end, zone: str | None = None, rest: str | None = None
+) -> DataFrame:
+    """One column ``gen_<fuel>`` per listed fuel. The list is fixed, so no extra pass looks for fuels.
+
+    ``rest`` names a column for the fuels that are not listed: the sum of what each of them generated.
+    """
+    tidy = scan_hourly(spark, path, GENERATION_SCHEMA, zone, start, end).withColumn("fuel", fuel_column(F.col("fuel")))
     names = ["gen_" + f.lower().replace(" ", "_") for f in fuels]
-    return tidy.withColumn("fuel", fuel_column(F.col("fuel"))).groupBy("zone", "ts").pivot("fuel", names).agg(F.avg("mw"))
+    means = [F.avg(F.when(F.col("fuel") == n, F.col("mw"))).alias(n) for n in names]
+    if rest is None:
+        return tidy.groupBy("zone", "ts").agg(*means)
+    # Means per fuel first, so that repeated readings of an unlisted fuel count once.
+    each = tidy.groupBy("zone", "ts", "fuel").agg(F.avg("mw").alias("mw"))
+    listed = F.coalesce(F.col("fuel").isin(names), F.lit(False))
+    return each.groupBy("zone", "ts").agg(*means, F.sum(F.when(~listed, F.col("mw"))).alias(rest))
 
 
 def landed_flows(spark: SparkSession, path: str, start, end, out_zone: str, in_zone: str) -> DataFrame:

@@ -24,3 +24,27 @@ def write_stream(df: DataFrame, path: str, checkpoint_path: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_updates(df: DataFrame, path: str, checkpoint_path: str) -> StreamingQuery:
+    """Write every hour that a batch changed, open or finished, to a folder of the batch; a repeated batch replaces its own.
+
+    ``newest`` reads the table back. Hours still open when the input ends are therefore not lost.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        df.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest(updates: DataFrame, keys=("zone", "ts"), batch: str = "batch") -> DataFrame:
+    """The last written state of every hour."""
+    values = [c for c in updates.columns if c not in (*keys, batch)]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), batch).alias("_last")).select(*keys, "_last.*")
