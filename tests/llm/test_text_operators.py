@@ -146,6 +146,20 @@ def test_lm_prefers_the_target(spark):
     assert got[30].background_loss == pytest.approx(loss / len(w), rel=1e-9)
 
 
+def test_lm_counts_of_rare_bigrams_are_their_own(spark):
+    # More distinct words than any fixed table of 2^18 buckets could keep apart.
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(2000))) for i in range(300)] + [(1000, "w7x1 w9x1 w7x2"), (1001, "w7x1 w9x1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    models = lm_score.train(d, spark.createDataFrame([(1000,)], "doc_id long"))
+    assert (models.background, models.target, models.vocabulary) == (600_005, 3, 600_000)
+    got = {r.doc_id: r for r in lm_score.score(d, spark.createDataFrame([(1000,)], "doc_id long"), models).collect()}
+    # Of w7x1's two other followers one is w9x1; the text begins with w7x1 in one of 301 others.
+    n = 600_003 + lm_score.SMOOTH * 600_000
+    a = lm_score.OWN / 301 + (1 - lm_score.OWN) * (2 + lm_score.SMOOTH) / n
+    b = lm_score.OWN / 2 + (1 - lm_score.OWN) * (2 + lm_score.SMOOTH) / n
+    assert got[1001].background_loss == pytest.approx(-(np.log(a) + np.log(b)) / 2, rel=1e-9)
+
+
 def test_mix_meets_targets_and_agrees_on_reruns(spark, docs):
     first, second = ([tuple(r) for r in mixing.mix(docs).orderBy("doc_id").collect()] for _ in range(2))
     assert first == second

@@ -1,10 +1,10 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models share one vocabulary, the buckets of hashed words, and one smoothing; the background is counted on all documents,
-the target on the trusted ones. Unigram and bigram counts live in two tables of fixed size, so what every task holds is
-bounded however large the corpus is, while the counts that tasks send grow with their input and cover all of it. A bigram's
-probability is a mixture of its own and its word's frequency. Loss is in nats per token; ``score`` is target minus background loss:
-the lower, the more like the target.
+Both models share one vocabulary and one smoothing; the background is counted on all documents, the target on the trusted ones.
+The counts of words and bigrams are Spark tables keyed by 64-bit hashes, so they grow with the input and no two n-grams share a
+count. Each text's distinct bigrams are joined to them and their losses summed per text. A bigram's probability is a mixture of
+its own and its word's frequency. Loss is in nats per token; ``score`` is target minus background loss: the lower, the more like the
+target.
 
 Defined results: null text counts as empty; a text without words has losses and score 0; without trusted documents the target model is
 the background's; repeated rows give repeated results; an empty table gives no rows; extra columns are ignored.
@@ -14,47 +14,27 @@ Words are runs without ASCII white space, A-Z lower-cased.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import few, small_batches, stored
 from .text_hash import mix, word_hashes
 
-WORDS, PAIRS = 1 << 18, 1 << 20
-#: Buckets that the driver takes at once.
-RANGE = 200_000
+#: Words the smoothing reckons with at least; larger vocabularies count as they are.
+WORDS = 1 << 18
 #: Share of the bigram's own frequency, and pseudo-counts of a word.
 OWN, SMOOTH = 0.6, 0.5
 
 
-def buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's words and of each word with the one before it (the first with the text's beginning)."""
+def bigrams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the word before each word (0 for the first), of each word and of both together."""
     h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
     before = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
-    return (h % np.uint64(WORDS)).astype(np.int32), (mix(before * np.uint64(3) + h) % np.uint64(PAIRS)).astype(np.int32)
-
-
-def beginnings(words: np.ndarray) -> np.ndarray:
-    """The bucket of the word before each word; the first word's is a bucket of its own, WORDS."""
-    return np.concatenate([np.array([WORDS], np.int32), words[:-1]]) if len(words) else words
-
-
-class Model:
-    """Loss from counts of words (as such and as first of a pair) and pairs."""
-
-    def __init__(self, words: np.ndarray, firsts: np.ndarray, pairs: np.ndarray):
-        self.words, self.firsts, self.pairs, self.total = words, firsts, pairs, words.sum()
-
-    def loss(self, w: np.ndarray, b: np.ndarray, p: np.ndarray, own: tuple | None) -> float:
-        """Sum over tokens, in nats. ``own``: how often each token's buckets occur in the text itself, if the model counted it."""
-        words, firsts, pairs, total = self.words[w], self.firsts[b], self.pairs[p], self.total
-        if own is not None:
-            words, firsts, pairs, total = words - own[0], firsts - own[1], pairs - own[2], total - own[3]
-        rate = np.minimum(1, pairs / np.maximum(firsts, 1))
-        return float(-np.log(OWN * rate + (1 - OWN) * (words + SMOOTH) / (total + SMOOTH * WORDS)).sum())
+    return before, h, mix(before * np.uint64(3) + h)
 
 
 def times(values: np.ndarray) -> np.ndarray:
@@ -63,73 +43,91 @@ def times(values: np.ndarray) -> np.ndarray:
     return count[place]
 
 
-def train(docs: DataFrame, trusted: DataFrame) -> tuple[Model, Model]:
-    """(target, background), counted on all rows."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = flagged(docs, trusted)
+@dataclass
+class Models:
+    """``pairs``: pair, and for background (b) and target (t) the counts of the pair, of its first word as such and of its word."""
+
+    pairs: DataFrame
+    background: int
+    target: int
+    vocabulary: int
+
+
+def train(docs: DataFrame, trusted: DataFrame) -> Models:
+    """Both models, counted on all rows."""
+    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One row of counts per bucket: words, then firsts, then pairs.
-        n = WORDS + WORDS + 1 + PAIRS
-        every, ours = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
-            for text, good in zip(batch.text, batch.trusted, strict=True):
-                w, p = buckets(text)
-                at = np.concatenate([w, beginnings(w) + WORDS, p + (2 * WORDS + 1)])
-                np.add.at(every, at, 1)
-                if good is True:
-                    np.add.at(ours, at, 1)
-        there = np.flatnonzero(every)
-        for a in range(0, len(there), 200_000):
-            i = there[a : a + 200_000]
-            yield pd.DataFrame({"bucket": i.astype(np.int32), "background": every[i], "target": ours[i]})
-
-    sums = rows.select("text", "trusted").mapInPandas(count, "bucket int, background long, target long").groupBy("bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    n = WORDS + WORDS + 1 + PAIRS
-    counts = np.zeros((2, n))
-    # At most one row per bucket reaches the driver, a range of buckets at a time.
-    sums = stored(sums, "lm-counts")
-    for at in range(0, n, RANGE):
-        table = sums.where(F.col("bucket").between(at, at + RANGE - 1)).toPandas()
-        counts[:, table.bucket.to_numpy()] = table[["target", "background"]].to_numpy().T
-    if not counts[0].any():
-        counts[0] = counts[1]  # nothing is trusted: the models differ only by the text's own counts
-    cut = lambda c: Model(c[:WORDS], c[WORDS : 2 * WORDS + 1], c[2 * WORDS + 1 :])
-    return cut(counts[0]), cut(counts[1])
-
-
-def score(docs: DataFrame, trusted: DataFrame, models: tuple[Model, Model]) -> DataFrame:
+            found = [bigrams(t) for t in batch.text]
+            first, word, pair = (np.concatenate(x) for x in zip(*found, strict=True))
+            good = np.repeat((batch.trusted == True).to_numpy(), [len(w) for _, w, _ in found])  # noqa: E712
+            pair, at, place, every = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+            ours = np.bincount(place[good], minlength=len(pair))
+            yield pd.DataFrame({"pair": pair.view(np.int64), "first": first[at].view(np.int64), "word": word[at].view(np.int64), "b": every, "t": ours})
+
+    seen = flagged(docs, trusted).select("text", "trusted").mapInPandas(count, "pair long, first long, word long, b long, t long")
+    pairs = seen.groupBy("pair").agg(F.min("first").alias("first"), F.min("word").alias("word"), F.sum("b").alias("b"), F.sum("t").alias("t"))
+    pairs = stored(pairs, "lm-pairs")
+    background, target = (int(x or 0) for x in pairs.agg(F.sum("b"), F.sum("t")).first())
+    if not target:
+        pairs, target = pairs.withColumn("t", F.col("b")), background  # nothing is trusted: the models differ only by the text's own counts
+    total = lambda by: pairs.groupBy(by).agg(F.sum("b").alias(f"{by}_b"), F.sum("t").alias(f"{by}_t"))
+    words = stored(total("word"), "lm-words")
+    firsts = stored(total("first"), "lm-firsts")
+    # Joins that Spark may split where a word has many neighbours.
+    return Models(pairs.join(words, "word").join(firsts, "first").drop("word", "first"), background, target, max(WORDS, words.count()))
+
+
+def losses(rows: DataFrame, models: Models) -> DataFrame:
+    """text_key, n_tokens, target_loss and background_loss of every distinct text that has words."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, text, good in zip(batch.text_key, batch.text, batch.trusted, strict=True):
+                first, word, pair = bigrams(text)
+                pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+                out.append(pd.DataFrame({
+                    "text_key": key, "n": len(word), "ours": good is True, "pair": pair.view(np.int64),
+                    "own": n, "own_first": times(first)[at], "own_word": times(word)[at],
+                }))
+            yield pd.concat(out)
+
+    uses = rows.mapInPandas(own, "text_key long, n int, ours boolean, pair long, own int, own_first int, own_word int").where("n > 0")
+
+    def loss(side: str, total: int, less: Column | None) -> Column:
+        but = lambda c, o: F.col(c) - (F.col(o) if less is None else F.when(less, F.col(o)).otherwise(0))
+        rate = F.least(F.lit(1.0), but(side, "own") / F.greatest(but(f"first_{side}", "own_first"), F.lit(1)))
+        all_words = F.lit(total) - (F.col("n") if less is None else F.when(less, F.col("n")).otherwise(0))
+        chance = F.lit(OWN) * rate + F.lit(1 - OWN) * (but(f"word_{side}", "own_word") + SMOOTH) / (all_words + SMOOTH * models.vocabulary)
+        return F.sum(-F.log(chance) * F.col("own"))
+
+    sums = uses.join(models.pairs, "pair").groupBy("text_key").agg(
+        F.max("n").alias("n_tokens"), F.sum("own").alias("all"), loss("t", models.target, F.col("ours")).alias("t"), loss("b", models.background, None).alias("b"),
+    )
+    # Copies of a text count alike above and below.
+    return stored(sums.select("text_key", "n_tokens", (F.col("t") / F.col("all")).alias("target_loss"), (F.col("b") / F.col("all")).alias("background_loss")), "lm-losses")
+
+
+def score(docs: DataFrame, trusted: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token) and score of every row.
 
     A text is scored by models without its own counts, so those the target was trained on have no advantage.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, background = shared.value
-        for batch in batches:
-            out = []
-            for text, good in zip(batch.text, batch.trusted, strict=True):
-                w, p = buckets(text)
-                b, n = beginnings(w), len(w)
-                own = (times(w), times(b), times(p), n)
-                t = target.loss(w, b, p, own if good is True else None) / max(1, n)
-                g = background.loss(w, b, p, own) / max(1, n)
-                out.append((n, t, g, t - g))
-            found = pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss", "score"])
-            found.insert(0, "doc_id", batch.doc_id.to_numpy())
-            yield found
-
-    return flagged(docs, trusted).mapInPandas(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    small_batches(docs.sparkSession)
+    rows = flagged(docs, trusted)
+    found = losses(rows.select("text_key", "text", "trusted"), models)
+    d = rows.select("doc_id", "text_key").join(few(found), "text_key", "left")
+    t, b = (F.coalesce(F.col(f"{k}_loss"), F.lit(0.0)) for k in ("target", "background"))
+    return d.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
 
 
 def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty) and whether the document is trusted; ``trusted`` has distinct doc_ids."""
+    """doc_id, text (null as empty), whether the document is trusted, and a hash of both; ``trusted`` has distinct doc_ids."""
     mine = few(trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(mine, "doc_id", "left")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(mine, "doc_id", "left")
+    return d.withColumn("text_key", F.xxhash64("text", F.coalesce("trusted", F.lit(False))))
 
 
 def rank(docs: DataFrame, trusted: DataFrame) -> DataFrame:
