@@ -246,6 +246,18 @@ def test_jaccard_join_against_brute_force(spark, texts):
     assert 1 - (1 - 0.8**rows) ** bands >= near.RECALL
 
 
+def test_jaccard_join_finds_pairs_within_a_template_family(spark):
+    rng = np.random.default_rng(6)
+    template, rows = [f"t{k}" for k in range(148)], []
+    for i in range(500):  # 0.815 within a pair, 0.58 between pairs
+        own = [f"o{i}x{k}" for k in range(52)]
+        other = [f"p{i}x{k}" if k in (8, 18, 28, 38) else w for k, w in enumerate(own)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + other))]
+    rng.shuffle(rows)
+    d = spark.createDataFrame([(int(i), str(t)) for i, t in rows], "doc_id long, text string").repartition(7)
+    assert all((r.class_id, r.n_links) == (r.doc_id // 2 * 2, 1) for r in near.join(d).collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

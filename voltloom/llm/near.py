@@ -2,15 +2,16 @@
 
 1. Every whole text gets its set of runs (64-bit hashes), a hash of the set, and MinHash bands; band and row counts follow from the
    wanted recall at the threshold. Texts with equal sets are one class and go on as one representative.
-2. Representatives are shuffled on band hashes. In a bucket each member is paired with one pivot only, so pairs grow with the
+2. Representatives are shuffled on band hashes. In a bucket each member is paired with one pivot, so pairs grow with the
    members; pivots differ by band. Pairs are verified on the full sets, and those of LOOSE similarity or more tie
-   representatives into groups.
+   representatives into groups. Members whose links the pivot may not have shown get a new one, and after STARS pivots
+   are compared pair by pair within their bucket, so no link between two members of a bucket is lost.
 3. Members of a group meet in blocks: every pair of blocks is one unit of work that compares all its pairs on full sets and returns
    only how many links each member has and a spanning forest of them. No pair is lost or capped, and no task sees more than two blocks.
 4. Classes are the components of the forests' links.
 
 Words are runs without ASCII white space; a text of one to four words has one run, all its words. Two similar texts miss each
-other only if all their buckets have pivots less than LOOSE similar to one of them.
+other only if they share no bucket, which happens to one in 1 / (1 - RECALL) of such pairs at the threshold.
 
 Defined results: null and empty texts, and those of white space only, have no runs and no links, and are classes of their own; a
 row's ``class_id`` is the least doc_id of its class (null if all are null), its ``n_links`` the number of other rows linked to it;
@@ -36,6 +37,8 @@ WORDS, SIMILAR, LOOSE = 5, 0.8, 0.6
 RECALL, MOST_HASHES = 0.9995, 128
 #: Members of a block.
 BLOCK = 256
+#: Pivots a bucket gets one after the other before its unsettled members are compared pair by pair.
+STARS = 3
 _SIGNS = "h1 long, h2 long, n int, bands array<long>"
 
 
@@ -197,6 +200,52 @@ def groups_work(members: DataFrame, similar: float, block: int = BLOCK) -> DataF
     return dealt.mapInPandas(run, "a long, b long, links long")
 
 
+def starred(members: DataFrame) -> DataFrame:
+    """band, hash, rep and the pair (a, b) of rep and its bucket's pivot. ``members``: band, hash, rep."""
+    # Pivots in an order that differs by band.
+    order = F.struct(F.xxhash64("rep", "band").alias("o"), F.col("rep").alias("pivot"))
+    buckets = members.groupBy("band", "hash").agg(F.min(order).alias("p"), F.count("*").alias("c")).where("c > 1").select("band", "hash", "c", "p.pivot")
+    both = members.join(buckets, ["band", "hash"]).where("rep <> pivot")
+    return both.select("band", "hash", "c", "rep", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+
+
+def unsettled(star: DataFrame, near: DataFrame, similar: float) -> DataFrame:
+    """band, hash, rep of the members whose links their pivot may not have shown.
+
+    Those are the members less than LOOSE similar to it, and of the others those that may be linked to one of them: linked
+    sets differ by at most 1 - ``similar`` in their similarity to any third (Jaccard distances obey the triangle inequality).
+    """
+    placed = star.where("c > 2").join(near, ["a", "b"]).select("band", "hash", "rep", "similar")
+    far = placed.where(F.col("similar") < LOOSE).groupBy("band", "hash").agg(F.max("similar").alias("top"))
+    left = placed.join(far, ["band", "hash"]).where((F.col("similar") < LOOSE) | (F.col("similar") - (1 - similar) <= F.col("top") + 1e-9))
+    return left.select("band", "hash", "rep")
+
+
+def tied(rows: DataFrame, names: dict[str, str], bands: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) that tie representatives into groups, (rep, text) of all that share a bucket)."""
+    jaccard = F.pandas_udf(similarity, "double")
+    left, near, texts = bands, None, None
+    for _ in range(STARS):
+        star = starred(left)
+        pairs = stored(star.select("a", "b").distinct(), "near-pairs")
+        if texts is None:
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+            texts = rows.select(F.col(names["row"]).alias("row"), "text").join(few(needed), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "text")
+            texts = stored(texts, "near-texts")
+        found = stored(with_texts(pairs, texts).select("a", "b", jaccard("text_a", "text_b").alias("similar")), "near-verified")
+        near = found if near is None else near.unionByName(found)
+        left = stored(unsettled(star, found, similar), "near-left")
+        if not left.limit(1).count():
+            break
+    ties = near.where(F.col("similar") >= LOOSE).select("a", "b")
+    sizes = stored(left.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1"), "near-left-sizes")
+    if sizes.limit(1).count():
+        # What the pivots left is compared pair by pair within its bucket.
+        members = left.join(few(sizes), ["band", "hash"]).select(F.xxhash64("band", "hash").alias("grp"), "size", "rep", F.lit(1).cast("long").alias("copies"))
+        ties = ties.unionByName(stored(groups_work(members.join(texts, "rep"), similar).where("b is not null").select("a", "b"), "near-left-links"))
+    return ties, texts
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """(signed rows, (row, class row, links), names of the added columns); rows without runs are not in the second table."""
     names = {k: free_name(docs, f"_vl_{k}") for k in ("row", "sign")}
@@ -206,17 +255,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataF
     sets = stored(keys.groupBy("h1", "h2", "n").agg(F.min("row").alias("rep"), F.count("*").alias("copies")), "near-sets")
     bands = s.join(sets.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), F.posexplode("s.bands").alias("band", "hash"))
     bands = stored(bands, "near-bands")
-    # Pivots in an order that differs by band.
-    order = F.struct(F.xxhash64("rep", "band").alias("o"), F.col("rep").alias("pivot"))
-    buckets = bands.groupBy("band", "hash").agg(F.min(order).alias("p"), F.count("*").alias("c")).where("c > 1").select("band", "hash", "p.pivot")
-    star = bands.join(buckets, ["band", "hash"]).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    star = stored(star, "near-pairs")
-    needed = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = rows.select(F.col(names["row"]).alias("row"), "text").join(few(needed), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "text")
-    texts = stored(texts, "near-texts")
-    jaccard = F.pandas_udf(similarity, "double")
-    near = stored(with_texts(star, texts).select("a", "b", jaccard("text_a", "text_b").alias("similar")), "near-verified")
-    groups = components(near.where(F.col("similar") >= LOOSE).select("a", "b"))
+    ties, texts = tied(rows, names, bands, similar)
+    groups = components(ties)
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     members = groups.join(few(stored(sizes, "near-sizes")), "component").select(F.col("component").alias("grp"), "size", F.col("node").alias("rep"))
     members = members.join(sets.select("rep", "copies"), "rep").join(texts, "rep")
