@@ -291,6 +291,21 @@ def test_neighbours_recall(spark):
     assert ann.search(none, none).count() == 0
 
 
+@pytest.mark.parametrize("n, copies", [(2, 1), (21, 1), (32, 1), (60, 1), (10, 30)])
+def test_neighbours_in_small_tables(spark, n, copies):
+    v = np.random.default_rng(n).standard_normal((n, 24))
+    rows = [(i + n * c, x.tolist()) for c in range(copies) for i, x in enumerate(v)]
+    e = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(e, e.where("vec_id < 3")).toPandas()
+    ids, m = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    for q in range(min(3, n)):
+        s = ann.products(m, m[q])
+        part = got[got.query_id == q].sort_values("rank")
+        assert len(part) == min(20, len(rows) - 1)
+        if n <= 21:  # every entry is looked at
+            assert part.vec_id.tolist() == [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+
+
 def test_language_held_out_accuracy(spark, docs):
     got = langid.label(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)

@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards. In each shard every tree keeps its vectors' sign hashes (BITS random hyperplanes) as one sorted array. A
 query descends in all trees to its longest matching prefixes and then ascends in all trees together, one bit at a time, until
-the matches of all trees reach a multiple of the shard; these candidates are scored exactly. Shorter vectors get one more
+the matches of all trees reach a multiple of the shard and hold one different entry more than the neighbours wanted, or all trees stand at
+the root; these candidates are scored exactly. Shorter vectors get one more
 coordinate that makes all norms equal, so that angles order by inner product. Equal vectors are one entry with its least ids,
 one more than the neighbours wanted, which loses nothing as ties go to smaller ids.
 
@@ -56,11 +57,24 @@ class Forest:
     def _codes(flat: np.ndarray, planes: np.ndarray) -> np.ndarray:
         return np.packbits(flat @ planes > 0, axis=1, bitorder="big").view(">u8").ravel().astype(np.uint64)
 
-    def candidates(self, q: np.ndarray, wanted: float) -> Iterator[np.ndarray]:
-        """For each query, the vectors that share a prefix with it in some tree when the ascent stops."""
+    def _matches(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The distinct vectors in one query's range of every tree."""
+        there = np.zeros(len(self.v), bool)
+        for t in range(self.trees):
+            there[self.order[t][low[t] : high[t]]] = True
+        return np.flatnonzero(there)
+
+    def candidates(self, q: np.ndarray, wanted: float, least: int) -> Iterator[np.ndarray]:
+        """For each query, the vectors that share a prefix with it in some tree when the ascent stops.
+
+        That is when the matches of all trees, those equal to the query left out, reach ``wanted`` and ``least`` different vectors
+        are among them, or at the root.
+        """
         flat = np.hstack([q, np.zeros((len(q), 1))])
         codes = [self._codes(flat, p) for p in self.planes]
         low, high = np.zeros((2, self.trees, len(q)), np.int64)
+        places = {x.tobytes(): i for i, x in enumerate(self.v)}
+        own = np.array([self.trees * (x.tobytes() in places) for x in q], np.int64)
         open_ = np.arange(len(q))
         for depth in range(BITS, -1, -1):
             # A shift by all 64 bits is undefined, so the root is taken by itself.
@@ -71,14 +85,15 @@ class Forest:
                 low[t, open_] = np.searchsorted(self.sorted[t], c)
                 high[t, open_] = np.searchsorted(self.sorted[t], c | ~mask, "right")
                 count += high[t, open_] - low[t, open_]
-            open_ = open_[count < wanted]
+            short = count - own[open_] < wanted
+            # One tree alone may hold enough different vectors; else they are counted.
+            for i in np.flatnonzero(~short & ((high - low)[:, open_].max(0) < least)):
+                short[i] = len(self._matches(low[:, open_[i]], high[:, open_[i]])) < least
+            open_ = open_[short]
             if not len(open_):
                 break
         for i in range(len(q)):
-            there = np.zeros(len(self.v), bool)
-            for t in range(self.trees):
-                there[self.order[t][low[t, i] : high[t, i]]] = True
-            yield np.flatnonzero(there)
+            yield self._matches(low[:, i], high[:, i])
 
 
 def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -117,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, candidates: floa
 
         def answers(some: pd.DataFrame) -> pd.DataFrame:
             q, out = np.stack(some.v.to_numpy()), []
-            for entry, one, c in zip(some.entry, q, forest.candidates(q, candidates * len(forest.v)), strict=True):
+            for entry, one, c in zip(some.entry, q, forest.candidates(q, candidates * len(forest.v), k + 1), strict=True):
                 s = products(forest.v[c], one)
                 # All entries as good as the last one needed stay: ids decide between ties.
                 keep = np.flatnonzero(s >= np.partition(s, -(k + 1))[-(k + 1)]) if len(s) > k + 1 else np.arange(len(s))
