@@ -210,6 +210,23 @@ def test_pii_learns_contexts(spark):
     assert "<PHONE>" in {r.doc_id: r.text for r in pii.redact(d).collect()}[10]
 
 
+def test_pii_learns_identifiers_in_several_words(spark):
+    seeds = [(i, f"please call me at home on +1 (555) 1{i}-4567 today {i}") for i in range(10, 60)]
+    numbers = [f"4111 1111 1111 {k}" for k in range(1000, 1300) if pii.luhn(f"411111111111{k}")]
+    seeds += [(60 + i, f"my card number is {c} and more {i}") for i, c in enumerate(numbers)]
+    phones = ["(555) 123-4567", "555 999 8888", "12 34 56 78", "555.999 8888", "(555)123-4567", "555 - 999 - 8888", "5551234567"]
+    cards = ["4111 1111 1111 1112", "4111-1111 1111-1112"]
+    more = {100 + i: (f"please call me at home on {x} today", "phone", x) for i, x in enumerate(phones)}
+    more |= {200 + i: (f"my card number is {x} and more", "card", x) for i, x in enumerate(cards)}
+    plain = [(300, "it took 12 34 56 78 in total")]
+    d = spark.createDataFrame(seeds + [(i, t) for i, (t, _, _) in more.items()] + plain, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    assert {i: [(s.kind, t[s.start : s.end]) for s in got[i]] for i, (t, _, _) in more.items()} == {i: [(kind, x)] for i, (_, kind, x) in more.items()}
+    assert got[300] == [] and all(len(got[i]) == 1 for i, _ in seeds)
+    masked = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert all(masked[i] == t.replace(x, f"<{kind.upper()}>") for i, (t, kind, x) in more.items())
+
+
 def brute_classes(texts):
     runs = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.encode().split()] if w}
     parent, links = {i: i for i in texts}, dict.fromkeys(texts, 0)

@@ -2,8 +2,8 @@
 
 The rules' entities are seeds. The words around a seed are its patterns (the two words before it; the word on either side).
 Patterns and the values they surround form a graph: a pattern is trusted for a kind by the share of its distinct values
-that belong to the kind, a value by the trusted patterns around it, in turns. Identifier-like words in trusted contexts are
-added as spans of the kind. Values count once however many copies of a text exist.
+that belong to the kind, a value by the trusted patterns around it, in turns. Identifier-like words, and runs of digit words
+with spaces, brackets, dots or hyphens between them, are added in trusted contexts as spans of the kind. Values count once however many copies of a text exist.
 
 Defined results: null text counts as empty and has no spans; repeated rows give repeated results; of equally trusted
 kinds the first in KINDS wins; an empty table gives no rows; extra columns are ignored by ``find`` and kept by ``redact``.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import few, small_batches, stored
@@ -33,6 +33,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
+#: Neighbouring groups of digits, joined by what cards and phones may have between them.
+_RUN = re.compile(r"(?<![^\s\"'(\[{<,;:=])(?:\+\(?|\()?[0-9]++(?:[ ().-]{1,3}+[0-9]++(?![^\s\"'()\[\]{}<>,;:!?.=-]))+")
 _EDGE = "\"'()[]{}<>,;:!?.="
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 _FOUND = f"doc_id long, text_key long, base {_SPAN}, near array<struct<start:int,end:int,value:long,kind:string,before:long,around:long>>"
@@ -101,11 +103,20 @@ def word_after(text: str, at: int) -> str:
 
 
 def neighbours(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and identifier-like words (four digits or more, or an @) outside them, with hashes of their contexts."""
+    """Seeds and identifier-like words or runs of digit words (four digits or more, or an @) outside them, with hashes of their contexts."""
     spans = [(a, b, kind) for kind, a, b in base]
     covered = sorted((a, b) for a, b, _ in spans)
+    # An identifier in several words has its context outside all of them.
+    k, wide = 0, []
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        if (k == len(covered) or covered[k][0] >= b) and len(_DIGITS.findall(m[0])) >= 4:
+            wide.append((a, b))
+            spans.append((a, b, None))
     # Only words that hold a digit or an @ can be identifiers; most texts have few.
-    seen, k = -1, 0
+    seen, k, r = -1, 0, 0
     for m in re.finditer(r"[0-9@]", text):
         if m.start() < seen:
             continue
@@ -122,6 +133,10 @@ def neighbours(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             k += 1
         if k < len(covered) and covered[k][0] < b:
             continue
+        while r < len(wide) and wide[r][1] < b:
+            r += 1
+        if r < len(wide) and text[wide[r][0] : wide[r][1]].strip(_EDGE) == text[a:b] and wide[r][0] <= a:
+            continue
         word = text[a:b]
         if "@" in word or len(_DIGITS.findall(word)) >= 4:
             spans.append((a, b, None))
@@ -179,6 +194,9 @@ def learned_spans(surveyed: DataFrame, patterns: DataFrame) -> DataFrame:
     uses = texts.select("text_key", "n.start", "n.end", F.explode(F.array("n.before", "n.around")).alias("pattern")).distinct()
     hits = uses.join(few(patterns), "pattern")
     best = hits.groupBy("text_key", "start", "end").agg(F.max(F.struct("confidence", F.negate(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("o"), "kind")).alias("b"))
+    # A word inside a longer span says nothing more.
+    before = Window.partitionBy("text_key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("reach", F.max("end").over(before)).where(F.col("reach").isNull() | (F.col("reach") < F.col("end")))
     return best.groupBy("text_key").agg(F.collect_list(F.struct(F.col("b.kind").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("added"))
 
 
