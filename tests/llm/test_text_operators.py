@@ -181,6 +181,16 @@ def test_mix_meets_targets_and_agrees_on_reruns(spark, docs):
     assert mixing.copies(docs).count() == rows.copies.sum()
 
 
+def test_mix_meets_targets_with_repeated_rows(spark):
+    rows = [(None, "w " * 50, s) for s in "abc" for _ in range(300)] + [(k, "w " * (10 + k % 90), s) for s in "abc" for k in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(d).toPandas()
+    assert len(got) == len(rows)
+    by = got.groupby("source").agg(most=("size", "max"), target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by.taken - by.target) <= by.most + 1).all()
+    assert mixing.copies(d).count() == got.copies.sum()
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

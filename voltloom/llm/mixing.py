@@ -10,7 +10,7 @@ Targets: weights 3, 1, 2 repeating over the sources by code point, null last; th
 to the others by weight until none is above.
 
 Defined results: null text has size 0; documents without words are never copied; a null source is a source of its own; rows with the
-same doc_id, source and size share one decision (taken counts each row's copies); ties of size are ordered by doc_id; an empty
+same doc_id, source and size have consecutive places of their own; ties of size are ordered by doc_id; an empty
 table gives no rows; extra columns are ignored by ``mix`` and kept by ``copies``.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pii import free_name
 from .tables import BROADCAST_ROWS, few, ranked, stored
 
 #: Fixed values of the mix.
@@ -97,30 +98,32 @@ def tilts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "mean", "tilt")
 
 
-def decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, copies) of every distinct key, and (source, source_size, target)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
-    keys = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-keys")
-    sizes = stored(keys.groupBy("source", "size").agg(F.sum("n").alias("n"), F.count("*").alias("keys")), "mix-sizes")
+def decisions(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, copies) of every row, and (source, source_size, target). ``row``: a column of row numbers, kept as ``row``."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), number.alias("row"))
+    rows = stored(rows, "mix-rows")
+    sizes = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
     targets = stored(source_targets(sizes), "mix-targets")
     tilt = tilts(sizes, targets)
     # Full sources take everything twice; elsewhere the rate depends on source and size only.
     t = targets.join(tilt.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     full = F.col("target") >= MOST_COPIES * F.col("source_size")
     rates = sizes.join(few(t).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
-        "source", "size", "keys", F.when(F.col("size") == 0, 0.0).when(full, float(MOST_COPIES)).otherwise(F.round(rate(F.col("tilt"), F.col("size"), F.col("mean")), 9)).alias("rate"),
+        "source", "size", "n", F.when(F.col("size") == 0, 0.0).when(full, float(MOST_COPIES)).otherwise(F.round(rate(F.col("tilt"), F.col("size"), F.col("mean")), 9)).alias("rate"),
     )
     before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    places = ranked(keys, [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id")], "mix-ranked", "_rank")
+    # The row number lets rows that are equal otherwise go to several ranges.
+    places = ranked(rows, [F.col("source").asc_nulls_first(), F.col("size"), F.col("doc_id"), F.col("row")], "mix-ranked", "_rank")
     firsts = places.groupBy("source", "size").agg(F.min("_rank").alias("_first"))
     # Exact sums: the rates have nine digits.
-    sums = rates.withColumn("_before", F.coalesce(F.sum((F.col("rate").cast(_EXACT) * F.col("keys")).cast(_EXACT)).over(before), F.lit(0).cast(_EXACT)))
+    sums = rates.withColumn("_before", F.coalesce(F.sum((F.col("rate").cast(_EXACT) * F.col("n")).cast(_EXACT)).over(before), F.lit(0).cast(_EXACT)))
     plan = stored(_same(sums, firsts).select("source", "size", "rate", "_before", "_first"), "mix-rates")
-    d = _same(places, plan)
+    d = _same(places, few(plan))
     at = F.col("_rank") - F.col("_first")
     upto = lambda k: F.floor(F.col("_before") + F.col("rate").cast(_EXACT) * k + F.lit(0.5).cast(_EXACT))
     copies = (upto(at + 1) - upto(at)).cast("int")
-    return d.select("doc_id", "source", "size", "n", copies.alias("copies")), targets
+    return d.select("doc_id", "source", "size", "row", copies.alias("copies")), targets
 
 
 def _same(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -134,14 +137,13 @@ def mix(docs: DataFrame) -> DataFrame:
     found, targets = decisions(docs)
     t = few(targets.select(F.col("source").alias("_s"), "source_size", "target"))
     d = found.join(t, F.col("source").eqNullSafe(F.col("_s")))
-    d = d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source", "n")
-    # One row per row of the table: repeated keys are rare.
-    return d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("_i", "n")
+    return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """The mixed table: every row as often as it is taken, with the columns of ``docs``."""
-    found, _ = decisions(docs)
-    k = found.where("copies > 0").select(F.col("doc_id").alias("_vl_doc"), F.col("source").alias("_vl_source"), F.col("size").alias("_vl_size"), F.col("copies").alias("_vl_copies"))
-    same = docs["doc_id"].cast("long").eqNullSafe(k["_vl_doc"]) & docs["source"].cast("string").eqNullSafe(k["_vl_source"]) & (size_of(docs["text"]) == k["_vl_size"])
-    return docs.join(k, same).withColumn("_vl_i", F.explode(F.sequence(F.lit(1), F.col("_vl_copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    row = free_name(docs, "_vl_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    found, _ = decisions(rows, row)
+    k = found.where("copies > 0").select(F.col("row").alias("_vl_taken"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_vl_copy"))
+    return rows.join(k, rows[row] == k["_vl_taken"]).select(*[rows[f"`{c}`"] for c in docs.columns])
