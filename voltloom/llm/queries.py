@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitpack, langid, lm_score, mixing, near, notices, oracles, packing, pii, quality, trie
+from . import ann, bitpack, langid, lm_score, mixing, near, notices, oracles, packing, pii, quality, toxicity, trie
 from .tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(read_table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.withColumn("n_neighbours", F.size("evidence").cast("long")).withColumn("nearest_cosine", F.try_element_at("evidence.cosine", F.lit(1))).drop("evidence")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, each written and read again."""
