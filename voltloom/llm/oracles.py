@@ -33,3 +33,23 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_
   s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
 FROM nodes n JOIN sums s USING (path) LEFT JOIN kids k USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
 """
+
+_TERMS = r"""unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, "text" FROM documents),
+tf AS (SELECT place, doc_id, term, count(*) AS tf FROM (SELECT place, doc_id, {_TERMS} FROM d) GROUP BY ALL),
+sizes AS (SELECT place, sum(tf)::BIGINT AS n FROM tf GROUP BY place),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} FROM benchmark)),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole WHERE term IN (SELECT term FROM asked) GROUP BY term, docs
+),
+scores AS (
+  SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total)))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (place), whole GROUP BY item_id, place, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, place))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitpack, langid, lm_score, mixing, near, notices, oracles, packing, pii, quality, toxicity, trie
+from . import ann, bitpack, langid, lm_score, mixing, near, notices, oracles, packing, pii, quality, ranked_search, toxicity, trie
 from .tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(read_table(spark, sf_dir, "conversations"))
 
 
+@query(sql=oracles.SEARCH)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
