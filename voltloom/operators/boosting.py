@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,12 +148,13 @@ def tune_rounds(
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Independent prediction of every row, as ``y_pred``; null where an input is missing, as training saw no such row."""
-    complete = F.lit(True)
-    for name in model.stages[0].getInputCols():
-        value = F.col(f"`{name}`").cast("double")
-        complete = complete & value.isNotNull() & ~F.isnan(value)
-    return model.transform(df).drop("features").withColumn("y_pred", F.when(complete, F.col("y_pred")))
+    """Independent prediction of every row, as ``y_pred``; null where an input is missing, as training saw no such row.
+
+    Missing inputs are looked for in the assembled vector, so an input given by a long expression is computed once.
+    """
+    scored = model.transform(df)
+    missing = F.exists(vector_to_array("features"), F.isnan)
+    return scored.withColumn("y_pred", F.when(~missing, F.col("y_pred"))).drop("features")
 
 
 def permutation_importance(
