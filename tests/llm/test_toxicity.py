@@ -69,7 +69,8 @@ def test_term_counts_and_vocabulary(spark):
         cells = [(bad, docs * 0.25), (20 - bad, (80 - docs) * 0.25), (docs - bad, docs * 0.75), (60 - docs + bad, (80 - docs) * 0.75)]
         ratio[g] = 2 * sum(o * math.log(o / e) for o, e in cells if o)
     many = {g for g, v in want.items() if v[0] >= tox.DOCUMENTS}
-    assert terms == {g for g in many if ratio[g] >= 2 * math.log(len(many))} and b"vile " in terms
+    odds = {g: math.log((bad + 0.5) / (20.5 - bad)) - math.log((docs - bad + 0.5) / (60.5 - docs + bad)) for g, (docs, bad) in want.items()}
+    assert terms == {g for g in many if ratio[g] >= 2 * math.log(len(many)) and abs(odds[g]) >= math.log(tox.ODDS)} and b"vile " in terms
 
 
 def test_held_out_accuracy(spark):

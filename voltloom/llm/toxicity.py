@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 1. Terms are runs of five bytes inside words, a space standing for a word's edge, so a stem is found in any of its forms. The
-   labelled rows' documents are counted per term, and the terms whose share differs most between the labels (by a likelihood ratio that
-   about one term reaches by chance) are the vocabulary. Every whole text becomes a sparse vector; document frequencies are counted over all rows.
+   labelled rows' documents are counted per term, and the terms that tell the labels apart best are the vocabulary: by a likelihood ratio
+   that about one term reaches by chance, and odds ODDS times as high with one label as with the other. Every whole text becomes a sparse vector; document frequencies are counted over all rows.
 2. A bounded sample of labelled rows (EXAMPLES, half of them of each label if there are as many) makes the index: postings per term in
    blocks of BLOCK examples, with the largest weight of each term in each block. A query adds those up to a bound per
    block, opens blocks from the highest bound on and stops where no bound reaches the k-th best cosine: exact neighbours.
@@ -20,6 +20,7 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import collections
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .langid import held_out
 from .tables import few, small_batches, stored
 
-#: Terms of the vocabulary at most, and the least documents of one.
-VOCABULARY, DOCUMENTS = 4096, 3
+#: Terms of the vocabulary at most, the least documents of one, and the least ratio of its odds between the labels.
+VOCABULARY, DOCUMENTS, ODDS = 2048, 3, 4.0
 #: Labelled rows in the index at most, of a block, neighbours that vote, and weight of the labels' overall share in a vote.
 EXAMPLES, BLOCK, NEIGHBOURS, PRIOR = 4096, 32, 15, 0.05
 #: Bytes of text that are cut into terms at once.
@@ -145,7 +146,9 @@ def vocabulary(counts: DataFrame, docs: int, toxic: int, most: int = VOCABULARY)
         cells += [part(with_term, F.col("docs") * share), part(total - with_term, (docs - F.col("docs")) * share)]
     counts = stored(counts.where(F.col("docs") >= DOCUMENTS), "tox-counts")
     least = 2 * np.log(max(2, counts.count()))  # of so many terms, about one gets there by chance
-    ratio = counts.select("term", (2 * sum(cells[1:], cells[0])).alias("g"))
+    good, clean = F.col("docs") - F.col("toxic"), docs - toxic
+    odds = F.log((F.col("toxic") + 0.5) / (toxic - F.col("toxic") + 0.5)) - F.log((good + 0.5) / (clean - good + 0.5))
+    ratio = counts.where(F.abs(odds) >= math.log(ODDS)).select("term", (2 * sum(cells[1:], cells[0])).alias("g"))
     rows = ratio.where(F.col("g") >= float(least)).orderBy(F.desc("g"), "term").limit(most).collect()
     return np.array(sorted(r.term for r in rows), np.int64)
 
@@ -317,17 +320,22 @@ def score(vector: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+
+        def one(terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+            if m.index is None or not len(terms):
+                return m.blank, []
+            found, cosine = m.index.nearest(terms, m.index.vector(terms, counts), k)
+            rows = zip(m.index.ids[found].tolist(), cosine.tolist(), m.index.toxic[found].tolist(), strict=True)
+            return m.score(found, cosine), [{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in rows]
+
         for batch in batches:
-            scores, evidence = [], []
+            known, out = {}, []  # equal vectors of a batch are scored once
             for terms, counts in zip(batch.terms, batch.counts, strict=True):
-                if m.index is None or not len(terms):
-                    scores.append(m.blank)
-                    evidence.append([])
-                    continue
-                found, cosine = m.index.nearest(terms, m.index.vector(terms, counts), k)
-                scores.append(m.score(found, cosine))
-                evidence.append([{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in zip(m.index.ids[found].tolist(), cosine.tolist(), m.index.toxic[found].tolist(), strict=True)])
-            yield pd.DataFrame({"doc_id": batch.doc_id, "score": scores, "evidence": evidence})
+                key = (terms.tobytes(), counts.tobytes())
+                if key not in known:
+                    known[key] = one(terms, counts)
+                out.append(known[key])
+            yield pd.DataFrame({"doc_id": batch.doc_id, "score": [s for s, _ in out], "evidence": [e for _, e in out]})
 
     return vector.mapInPandas(run, f"doc_id long, score double, evidence {EVIDENCE}")
 
