@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import SMALL, hourly, to_spark
@@ -70,6 +71,40 @@ def test_gap_hours_appear_as_null_rows(spark):
     assert len(full) == 10 and full["price"].isna().tolist() == [i in (3, 4) for i in range(10)]
 
 
+@pytest.mark.parametrize("chunk", [5, 24, 2016])
+def test_gaps_are_filled_across_chunks(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    parts = []
+    for zone, hours in (("A", 400), ("B", 90), ("C", 1), (None, 40)):
+        frame = hourly(hours, (zone,))
+        keep = rng.random(hours) < (0.2 if zone == "A" else 0.7)
+        keep[[0, -1]] = True
+        if zone == "A":
+            keep[100:290] = False  # a gap over many chunks
+        parts.append(frame[keep])
+    frame = pd.concat(parts, ignore_index=True)
+    got = grid.regular_grid(to_spark(spark, frame[["zone", "ts", "price"]]).repartition(5), chunk_steps=chunk).toPandas()
+    for zone, own in frame.groupby("zone", dropna=False):
+        want = own.set_index("ts").price.asfreq("h")
+        mine = got[got.zone.isna() if zone is None or zone != zone else got.zone == zone].sort_values("ts").set_index("ts").price
+        pd.testing.assert_series_equal(mine, want, check_freq=False, check_index_type=False)
+
+
+def test_gap_filling_of_odd_tables(spark):
+    day = spark.createDataFrame([("A", "2024-02-27", 1.0), ("A", "2024-03-02", 2.0), ("A", "2024-03-02", 3.0), ("A", None, 4.0)], "zone string, ts string, price double")
+    full = grid.regular_grid(day.withColumn("ts", F.col("ts").cast("timestamp")), step="day").orderBy("ts", "price").collect()
+    assert [(r.ts.day, r.price) for r in full] == [(27, 1.0), (28, None), (29, None), (1, None), (2, 2.0), (2, 3.0)]
+    assert grid.regular_grid(day.limit(0).withColumn("ts", F.col("ts").cast("timestamp")), step="day").count() == 0
+
+
+@pytest.mark.parametrize("name", ["resample_hourly", "regular_grid", "regular_grid_daily", "lag_k", "roll_mean", "weather_24h", "difference", "to_local"])
+def test_market_queries_scan_the_source_once(spark, name):
+    from voltloom import plans
+
+    plan = plans.all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_salted_lookup_splits_a_hot_series(spark):
     df = to_spark(spark, hourly(500, ("A",)))
     table = spark.createDataFrame([("A", 1.0)], "zone string, v double")

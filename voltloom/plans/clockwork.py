@@ -95,9 +95,7 @@ def nearest_lag_join(spark, sf_dir):
 @register("resample_hourly", sql([READINGS, "means AS (SELECT zone, date_trunc('hour', ts) AS ts, avg(value) AS value, avg(k) AS k FROM readings GROUP BY 1, 2)",
                                   MARKET[2]], "SELECT zone, ts, value, k FROM spine LEFT JOIN means USING (zone, ts)", "zone ts", "value k"))
 def resample_hourly(spark, sf_dir):
-    events = market.readings(spark, sf_dir)
-    means = grid.resample_mean(events, ["value", "k"])
-    return grid.regular_grid(means, bounds=grid.time_bounds(events))
+    return grid.regular_grid(grid.resample_mean(market.readings(spark, sf_dir), ["value", "k"]))
 
 
 def _live(spark, sf_dir):

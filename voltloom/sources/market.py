@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grid import regular_grid, time_bounds
+from ..operators.grid import regular_grid
 from ..operators.windows import over_chunks
 from ..session import work_path
 from .sinks import sink_raw
@@ -52,8 +52,7 @@ def aggregate_hours(events: DataFrame, step: str = "hour") -> DataFrame:
 
 def hourly_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly rows per zone on the complete grid; empty hours are null."""
-    events = readings(spark, sf_dir)
-    return regular_grid(aggregate_hours(events), bounds=time_bounds(events))
+    return regular_grid(aggregate_hours(readings(spark, sf_dir)))
 
 
 def hourly_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def hourly_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Read off each row: the optimizer drops a literal from join keys, which leaves a product of both sides.
     one = F.concat_ws("", F.lit("ALL"), F.substring("zone", 1, 0))
     events = readings(spark, sf_dir).withColumn("zone", one)
-    return regular_grid(aggregate_hours(events), bounds=time_bounds(events))
+    return regular_grid(aggregate_hours(events))
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = orders.groupBy("zone", F.date_trunc("day", "ts").alias("ts")).agg(
         F.avg("p").alias("price"), F.count(F.lit(1)).cast("double").alias("load")
     )
-    return regular_grid(days, step="day", bounds=time_bounds(orders, step="day"))
+    return regular_grid(days, step="day")
 
 
 def prediction_log(market: DataFrame) -> DataFrame:
