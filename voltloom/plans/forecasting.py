@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..operators import backtest as walk
-from ..operators import baselines, boosting, features, forecast, linear, profiles
+from ..operators import baselines, boosting, features, forecast, linear, profiles, slabs
 from ..operators.reshape import median_impute
 from ..session import checkpoint
 from ..sources import market
@@ -301,11 +303,49 @@ def fit_gbt(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+# More rounds than patience, several folds, and every feature, the rank among the training rows included.
+TUNE = boosting.BoostConfig(
+    max_depth=4, n_estimators=200, learning_rate=0.3, min_train_size=96, val_size=48, step=48, patience=10, min_child_weight=5
+)
+ALL_FEATURES = [*MODEL_FEATURES, "solar_to_residual", "residual_load_pct"]
+
+
 @register("tune_rounds")
 def tune_rounds(spark, sf_dir):
-    rows = features.build_features(_stored_market(spark, sf_dir), forecast.strict_spec())
-    folds, rounds = boosting.tune_rounds(rows, MODEL_FEATURES, BOOST)
-    return folds.withColumn("final_rounds", F.lit(rounds))
+    """Folds grown until patience runs out, and the final fit's error on the held-out end of every series."""
+    spec = replace(forecast.strict_spec(), rank="train", train_before=SPLIT)
+    rows = features.build_features(_stored_market(spark, sf_dir), spec)
+    tuned = slabs.tune_and_fit(rows, ALL_FEATURES, TUNE)
+    held = tuned.held.agg(F.avg(F.abs(F.col("price") - F.col("y_pred"))), F.count("y_pred")).first()
+    return tuned.folds.withColumns({
+        "final_rounds": F.lit(tuned.rounds), "final_trees": F.lit(len(tuned.model.trees)), "held_mae": F.lit(held[0]), "held_rows": F.lit(held[1])})
+
+
+_STUMP = boosting.BoostConfig(max_depth=1, subsample=1.0, colsample=1.0)
+_SOFT = f"(CASE WHEN abs(%s) > {slabs.ALPHA} THEN abs(%s) - {slabs.ALPHA} ELSE 0 END)"
+
+
+def _worth(g: str, n: str) -> str:
+    return f"power({_SOFT % (g, g)}, 2) / ({n} + {slabs.LAMBDA})"
+
+
+def _leaf(g: str, n: str) -> str:
+    return f"{_STUMP.learning_rate} * sign({g}) * {_SOFT % (g, g)} / ({n} + {slabs.LAMBDA})"
+
+
+@register("tree_stump", sql(
+    [*MARKET, "r AS (SELECT zone, ts, price, hour(ts) AS hour, isodow(ts) - 1 AS dow, avg(price) OVER () AS base FROM market WHERE price IS NOT NULL)",
+     "c AS (SELECT 0 AS f, hour AS v, sum(price - base) AS g, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 1, dow, sum(price - base), count(*) FROM r GROUP BY 2)",
+     "s AS (SELECT f, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY f) AS g, sum(n) OVER (PARTITION BY f) AS n FROM c WINDOW w AS (PARTITION BY f ORDER BY v))",
+     f"b AS (SELECT *, {_worth('gl', 'nl')} + {_worth('(g - gl)', '(n - nl)')} - {_worth('g', 'n')} AS gain FROM s "
+     f"WHERE nl >= {_STUMP.min_child_weight} AND n - nl >= {_STUMP.min_child_weight} ORDER BY gain DESC, f, v LIMIT 1)"],
+    f"""SELECT zone, ts, price, base + CASE WHEN CASE WHEN f = 0 THEN hour ELSE dow END <= v THEN {_leaf('gl', 'nl')} ELSE {_leaf('(g - gl)', '(n - nl)')} END AS y_pred
+  FROM r, b""", "zone ts", "price y_pred"))
+def tree_stump(spark, sf_dir):
+    """One round at depth 1 on hour and weekday, small enough for SQL to find the same split and leaves."""
+    rows = market.hourly_observed(spark, sf_dir).select("zone", "ts", "price", F.hour("ts").alias("hour"), F.weekday("ts").alias("dow"))
+    rows = rows.where("price is not null")
+    return slabs.fit_rounds(rows, ["hour", "dow"], _STUMP, 1).score(rows).select("zone", "ts", "price", "y_pred")
 
 
 @register("predict_batch")
