@@ -71,6 +71,22 @@ def test_gap_hours_appear_as_null_rows(spark):
     assert len(full) == 10 and full["price"].isna().tolist() == [i in (3, 4) for i in range(10)]
 
 
+def test_newest_files_are_chosen_before_reading(spark, tmp_path):
+    for kind, zone, day, value in (("load", "A", "2024-01-07", 1.0), ("load", "A", "2024-01-30", 2.0), ("load", "B", "2024-01-07", 3.0), ("price", "A", "2023-12-31", 4.0)):
+        rows = spark.createDataFrame([(zone, None, value)] * 6, landing.SERIES_SCHEMA).repartition(2)
+        rows.write.parquet(str(tmp_path / f"{kind}_{zone}_{day}"))
+    paths = [str(p) for p in sorted(tmp_path.iterdir())]
+    name = r"/([a-z]+)_([A-Z])_([0-9-]+)/[^/]+$"
+    chosen = landing.newest_files(spark, paths, name, [1, 2], 3)
+    found = spark.read.schema(landing.SERIES_SCHEMA).parquet(*chosen)
+    assert len(chosen) == 6 and not any("load_A_2024-01-07" in f for f in chosen)
+    assert sorted(f.removeprefix("file://") for f in found.inputFiles()) == sorted(f.removeprefix("file:") for f in chosen)
+    rows = landing.read_newest(spark, paths, landing.SERIES_SCHEMA, name, [1], 3)
+    assert {(r.zone, r.value) for r in rows.collect()} == {("A", 2.0), ("A", 4.0)}
+    none = landing.read_newest(spark, paths[-1], landing.SERIES_SCHEMA, "nothing_([0-9]+)", [1], 1)
+    assert none.count() == 0 and none.columns == rows.columns
+
+
 @pytest.mark.parametrize("chunk", [5, 24, 2016])
 def test_gaps_are_filled_across_chunks(spark, chunk):
     rng = np.random.default_rng(chunk)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import lookups, reshape, roles
 from ..sources import landing, market, sinks, weather
@@ -59,12 +60,24 @@ def latest_snapshot(spark, sf_dir):
 @register("newest_snapshot_only", sql([READINGS, HOURS], f"SELECT zone, ts, price + 1000 AS value FROM hours "
                                       f"WHERE ts >= TIMESTAMP '{FROM}'", "zone ts", "value"))
 def newest_snapshot_only(spark, sf_dir):
+    """The files are chosen by name, so the older snapshot is not read."""
     path = _snapshots(spark, sf_dir)
-    rows = landing.read_snapshots(spark, [f"{path}/load_2024-01-07", f"{path}/load_2024-01-30"], landing.SERIES_SCHEMA)
-    named = rows.withColumns(
-        {"kind": F.lit("load"), "snapshot": F.regexp_extract("snapshot", r"(load_[0-9-]+)", 1)}
-    )
-    return landing.newest_files(named, ["kind"]).select("zone", "ts", "value")
+    paths = [f"{path}/load_2024-01-07", f"{path}/load_2024-01-30"]
+    return landing.read_newest(spark, paths, landing.SERIES_SCHEMA, r"([a-z]+)_([0-9-]+)/[^/]+$", [1], 2).select("zone", "ts", "value")
+
+
+@register("newest_snapshot_by_zone", sql([READINGS, HOURS], f"SELECT zone, ts, price + CASE WHEN zone IN ('click', 'view') THEN 1000 ELSE 0 END AS value FROM hours "
+                                         f"WHERE zone NOT IN ('click', 'view') OR ts >= TIMESTAMP '{FROM}'", "zone ts", "value"))
+def newest_snapshot_by_zone(spark, sf_dir):
+    """Two zones have a newer snapshot than the others; each zone is read from its own newest files."""
+    hours = market.hourly_observed(spark, sf_dir).select("zone", "ts", F.col("price").alias("value"))
+    path = work_path(spark, "snapshots")
+    hours.withColumn("day", F.lit("2024-01-07")).write.partitionBy("zone", "day").parquet(path)
+    later = hours.where((F.col("ts") >= F.lit(FROM).cast("timestamp")) & F.col("zone").isin("click", "view")).withColumn("value", F.col("value") + 1000.0)
+    later.withColumn("day", F.lit("2024-01-30")).write.mode("append").partitionBy("zone", "day").parquet(path)
+    name = r"zone=([^/]+)/day=([0-9-]+)/[^/]+$"
+    rows = landing.read_newest(spark, path, T.StructType([f for f in landing.SERIES_SCHEMA if f.name != "zone"]), name, [1], 2)
+    return rows.select(F.regexp_extract("snapshot", name, 1).alias("zone"), "ts", "value")
 
 
 def _series(spark, sf_dir, column, name):

@@ -112,13 +112,28 @@ def latest_snapshot(df: DataFrame, keys: list[str], snapshot="snapshot") -> Data
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), snapshot).alias("_r")).select(*keys, "_r.*")
 
 
-def newest_files(df: DataFrame, kind_keys: list[str], snapshot="snapshot") -> DataFrame:
-    """Only the rows of the newest snapshot of each kind. One row per kind is looked up."""
-    from ..operators.lookups import salted_lookup
+def newest_files(spark: SparkSession, paths: str | list[str], name: str, by: list[int], version: int) -> list[str]:
+    """The files of the newest snapshot of each kind, chosen by name before any row is read.
 
-    newest = df.groupBy(*kind_keys).agg(F.max(snapshot).alias("_newest"))
-    spread = [c for c in df.columns if c not in kind_keys]
-    return salted_lookup(df, newest, kind_keys, spread).where(F.col(snapshot) == F.col("_newest")).drop("_newest")
+    ``name`` is a pattern over a file's path; its groups ``by`` say what is a kind of its own (say, table and zone), its group
+    ``version`` orders the snapshots, as text. Files whose path does not match are left out. Only the paths are read, and
+    the files of older snapshots never.
+    """
+    found = spark.read.format("parquet").schema("_none int").load([paths] if isinstance(paths, str) else list(paths))
+    found = found.select(F.col("_metadata.file_path").alias("path")).distinct().where(F.col("path").rlike(name))
+    kind = F.array(*[F.regexp_extract("path", name, g) for g in by])
+    named = found.select("path", kind.alias("kind"), F.regexp_extract("path", name, version).alias("version"))
+    files = named.groupBy("kind", "version").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    newest = files.groupBy("kind").agg(F.max_by("files", "version").alias("files"))
+    return sorted(f for r in newest.collect() for f in r.files)
+
+
+def read_newest(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, name: str, by: list[int], version: int
+) -> DataFrame:
+    """The rows of the newest snapshot of each kind; empty if no file matches. See ``newest_files``."""
+    chosen = newest_files(spark, paths, name, by, version)
+    return read_snapshots(spark, chosen, schema) if chosen else spark.createDataFrame([], schema).withColumn("snapshot", F.lit(""))
 
 
 def with_fallback(live: DataFrame, *fallbacks: DataFrame, keys=("zone", "ts")) -> DataFrame:
