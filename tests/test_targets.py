@@ -6,6 +6,7 @@ import pytest
 from conftest import SMALL, to_spark
 
 from voltloom.operators import targets
+from voltloom.operators.windows import Chunks
 from voltloom.plans import all_queries
 from voltloom.streaming.resample import newest
 
@@ -22,23 +23,39 @@ def log(hours: int = 240, zones=("A", "B"), seed: int = 3) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True)
 
 
-def test_intervals_and_pinball_by_hand(spark):
+@pytest.mark.parametrize("size", [48, 2016])
+def test_intervals_and_pinball_by_hand(spark, size):
     frame = log()
-    rows = targets.intervals(to_spark(spark, frame), (80,)).toPandas().sort_values(["zone", "ts"]).reset_index(drop=True)
-    error = frame.y_true - frame.y_pred
-    by = [frame.zone, frame.horizon]
-    low = frame.y_pred + error.groupby(by).transform(lambda e: e.quantile(0.1))
-    high = frame.y_pred + error.groupby(by).transform(lambda e: e.quantile(0.9))
-    assert np.allclose(rows.low_80, low) and np.allclose(rows.high_80, high)
+    cut = lambda f: targets.intervals(to_spark(spark, f), (80,), hours=120, least=3, chunks=Chunks(size=size))
+    rows = cut(frame).toPandas().sort_values(["zone", "ts"]).reset_index(drop=True)
+    frame["error"] = frame.y_true - frame.y_pred
+
+    def earlier(q):
+        # One row a day in each group, so 120 hours are five rows.
+        roll = lambda e: e.shift(1).rolling(5, min_periods=3).quantile(q)
+        return frame.y_pred + frame.groupby(["zone", "horizon"]).error.transform(roll)
+
+    low, high = earlier(0.1), earlier(0.9)
+    assert low.notna().any() and np.allclose(rows.low_80, low, equal_nan=True) and np.allclose(rows.high_80, high, equal_nan=True)
 
-    scores = targets.interval_scores(targets.intervals(to_spark(spark, frame), (80,)), 80).toPandas().set_index("zone")
-    known = frame.y_true.notna()
+    scores = targets.interval_scores(cut(frame.drop(columns="error")), 80).toPandas().set_index("zone")
+    known = frame.y_true.notna() & low.notna()
     off = frame.y_true - high
     loss = np.maximum(0.9 * off, -0.1 * off)[known].groupby(frame.zone[known]).mean()
     inside = frame.y_true.between(low, high)[known].groupby(frame.zone[known]).mean()
     assert np.allclose(scores.pinball_high[loss.index], loss) and np.allclose(scores.coverage[inside.index], inside)
 
 
+def test_later_errors_do_not_change_earlier_intervals(spark):
+    frame = log()
+    changed = frame.copy()
+    changed.loc[changed.ts >= "2025-01-07", "y_true"] += 1e6
+    before = [targets.intervals(to_spark(spark, f), least=2).where("ts <= '2025-01-07'").toPandas().sort_values(["zone", "ts"], ignore_index=True) for f in (frame, changed)]
+    names = ["low_80", "high_80", "low_95", "high_95"]
+    assert before[0].low_95.notna().any()
+    pd.testing.assert_frame_equal(before[0][names], before[1][names])
+
+
 def test_sigma_uses_earlier_errors_only(spark):
     frame = log(60, ("A",))
     frame.loc[50, "y_true"] = frame.loc[50, "y_pred"] + 1000.0

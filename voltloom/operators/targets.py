@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import pinball
-from .lookups import salted_lookup
 from .ranking import exact_quantiles
-from .windows import DEFAULT, Chunks, over_chunks, roll_std
+from .windows import DEFAULT, Chunks, over_chunks, roll_std, spread
 
 LEVELS = (80, 95)
 
@@ -28,16 +29,22 @@ def residual_quantiles(log: DataFrame, levels: tuple[int, ...] = LEVELS, by: tup
     return exact_quantiles(errors, list(by), "error", wanted)
 
 
-def intervals(log: DataFrame, levels: tuple[int, ...] = LEVELS, by: tuple[str, ...] = ("zone", "horizon")) -> DataFrame:
-    """Add ``low_<level>`` and ``high_<level>``: the prediction plus the quantiles of its group's errors.
+def intervals(
+    log: DataFrame, levels: tuple[int, ...] = LEVELS, by: tuple[str, ...] = ("zone", "horizon"), hours: int = 2160, least: int = 8, chunks: Chunks = DEFAULT
+) -> DataFrame:
+    """Add ``low_<level>`` and ``high_<level>``: the prediction plus exact quantiles of its group's errors of the ``hours`` before.
 
-    Null where there is no prediction, or no error of the group is known.
+    A row's own error and later ones play no part, so coverage is not met by construction. Null where there is no prediction, or
+    fewer than ``least`` such errors are known. One shuffle; a group is a chunk of hours and those before it.
     """
-    shifts = residual_quantiles(log, levels, by)
-    rows = salted_lookup(log, shifts, list(by))
-    sides = [(side, level) for level in levels for side in ("low", "high")]
-    rows = rows.withColumns({f"{side}_{level}": F.col("y_pred") + F.col(f"shift_{side}_{level}") for side, level in sides})
-    return rows.drop(*[f"shift_{side}_{level}" for side, level in sides])
+    sides = [(f"{side}_{level}", edge) for level in levels for side, edge in zip(("low", "high"), _edges(level), strict=True)]
+    rows = log.withColumn("_error", F.col("y_true") - F.col("y_pred"))
+    parts = replace(chunks, keys=tuple(by))
+    before = Window.partitionBy(*by, "_chunk").orderBy(F.unix_seconds(F.col(chunks.ts))).rangeBetween(-hours * 3600, -1)
+    marks = F.percentile("_error", F.array(*[F.lit(edge) for _, edge in sides]))
+    known = F.when(F.count("_error").over(before) >= least, marks.over(before))
+    rows = spread(rows, hours, parts).withColumn("_marks", known).where("_own")
+    return rows.select(*log.columns, *[(F.col("y_pred") + F.col("_marks")[i]).alias(name) for i, (name, _) in enumerate(sides)])
 
 
 def interval_scores(rows: DataFrame, level: int, by: tuple[str, ...] = ("zone",)) -> DataFrame:

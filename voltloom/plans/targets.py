@@ -12,10 +12,12 @@ def _log(spark, sf_dir):
     return market.stored(market.prediction_log(market.hourly_market(spark, sf_dir)))
 
 
-SHIFTS = """shifts AS (SELECT zone, horizon, quantile_cont(error, 0.1) AS l80, quantile_cont(error, 0.9) AS h80,
-  quantile_cont(error, 0.025) AS l95, quantile_cont(error, 0.975) AS h95 FROM errs WHERE error IS NOT NULL GROUP BY 1, 2)"""
-BOUNDS = """bounds AS (SELECT e.*, y_pred + l80 AS low_80, y_pred + h80 AS high_80, y_pred + l95 AS low_95, y_pred + h95 AS high_95
-  FROM errs e LEFT JOIN shifts USING (zone, horizon))"""
+SHIFTS = """shifts AS (SELECT *, quantile_cont(error, 0.1) OVER w AS l80, quantile_cont(error, 0.9) OVER w AS h80,
+  quantile_cont(error, 0.025) OVER w AS l95, quantile_cont(error, 0.975) OVER w AS h95, count(error) OVER w AS known FROM errs
+  WINDOW w AS (PARTITION BY zone, horizon ORDER BY ts RANGE BETWEEN INTERVAL 2160 HOUR PRECEDING AND INTERVAL 1 SECOND PRECEDING))"""
+BOUNDS = """bounds AS (SELECT zone, ts, horizon, y_true, y_pred, y_pred + l80 AS low_80, y_pred + h80 AS high_80, y_pred + l95 AS low_95,
+  y_pred + h95 AS high_95 FROM (SELECT zone, ts, horizon, y_true, y_pred, CASE WHEN known >= 8 THEN l80 END AS l80, CASE WHEN known >= 8 THEN h80 END AS h80,
+  CASE WHEN known >= 8 THEN l95 END AS l95, CASE WHEN known >= 8 THEN h95 END AS h95 FROM shifts))"""
 
 
 @register("prediction_intervals", sql([*LOG, SHIFTS, BOUNDS], "SELECT zone, ts, horizon, y_pred, low_80, high_80, low_95, high_95 FROM bounds",
