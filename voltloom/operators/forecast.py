@@ -92,6 +92,11 @@ def origin_state(df: DataFrame, origins: DataFrame, spec: FeatureSpec) -> DataFr
     lengths = _state_lengths(spec, df.columns)
     carried = [c for c in CARRIED if c in df.columns]
     longest = max(lengths.values())
+    span = origins.agg(F.min("origin"), F.max("origin")).first()
+    if span[0] is not None:
+        # Only hours that some origin can see are packed; the literals reach the file scan.
+        first = F.lit(span[0]).cast("timestamp") - F.make_dt_interval(secs=F.lit(float(longest * chunks.step_seconds)))
+        df = df.where((F.col(ts) > first) & (F.col(ts) <= F.lit(span[1]).cast("timestamp")))
     rows = spread(df.select(*keys, ts, *lengths, *carried), longest, chunks)
     packed = rows.groupBy(*keys, "_chunk").agg(
         F.sort_array(F.collect_list(F.struct(ts, *lengths, *carried))).alias("_h")
