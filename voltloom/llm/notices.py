@@ -10,9 +10,12 @@ those with the fewest edits stand, ties all; repeated rows give repeated results
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,12 +90,24 @@ class Searcher:
             for a, b in merged:
                 for m in pattern.finditer(text[a:b]):
                     found.append((label, a + m.start(), a + m.end(), sum(m.fuzzy_counts), len(padded)))
-        # Where notices overlap, such as two versions of a licence, those with the fewest edits stand.
-        kept = []
-        for x in sorted(found, key=lambda x: x[3]):
-            if all(x[3] == y[3] or x[2] <= y[1] + 1 or y[2] <= x[1] + 1 for y in kept):
+        return fewest_edits(found)
+
+
+def fewest_edits(found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """Where matches overlap, such as those of two versions of a licence, the ones with the fewest edits stand.
+
+    A match meets only those kept with fewer edits: among the ones that begin before its end, the furthest end tells whether
+    any reaches into it.
+    """
+    kept: list[tuple[str, int, int, int, int]] = []
+    for _, level in itertools.groupby(sorted(found, key=lambda x: x[3]), key=lambda x: x[3]):
+        better = sorted((a, b) for _, a, b, _, _ in kept)
+        starts, furthest = [a for a, _ in better], list(itertools.accumulate((b for _, b in better), max))
+        for x in level:
+            n = bisect_left(starts, x[2] - 1)
+            if not n or furthest[n - 1] <= x[1] + 1:
                 kept.append(x)
-        return kept
+    return kept
 
 
 def places(text: bytes, needle: bytes) -> Iterator[int]:
@@ -106,10 +121,11 @@ def scan_text(text: str, searcher: Searcher, base: dict[str, str] = BASE) -> tup
     words = text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split()
     joined = b" " + b" ".join(words) + b" "
     starts, labels = [], set()
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)  # the k-th stands before word k
     for phrase, label in base.items():
-        for p in places(joined, f" {phrase} ".encode()):
-            starts.append(joined.count(b" ", 0, p))
-            labels.add(label)
+        found = list(places(joined, f" {phrase} ".encode()))
+        starts += np.searchsorted(spaces, found).tolist()
+        labels.update([label] if found else [])
     matches, score, every = [], 1.0 if labels else 0.0, set(labels)
     hits = searcher.find(joined) if words else []
     if hits:
@@ -119,7 +135,7 @@ def scan_text(text: str, searcher: Searcher, base: dict[str, str] = BASE) -> tup
             if not inner:
                 continue
             a = joined.index(inner, a)
-            first = joined.count(b" ", 0, a) - 1
+            first = int(np.searchsorted(spaces, a)) - 1
             last = first + inner.count(b" ")
             matches.append({"label": label, "first_word": first, "last_word": last, "start": at[first][0], "end": at[last][1], "edits": edits})
             every.add(label)
