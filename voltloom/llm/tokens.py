@@ -3,12 +3,14 @@
 Before its merges the tokenizer cuts a text in front of a space that a word follows, and around a line end, comma or full
 stop between words. What lies between two cuts is encoded alike wherever it stands, so the ids of such pieces are kept in
 a bounded memory, and only new pieces are encoded. A text in which a piece could depend on its neighbours (runs of
-white space or of punctuation) is cut at spaces only, or encoded whole. All ways give exactly the tokenizer's ids.
+white space or of punctuation) is cut at spaces only, or encoded whole, as is one that holds the string of a special token.
+All ways give exactly the tokenizer's ids. An empty text has none; null texts are for the caller to replace.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
@@ -16,11 +18,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The vocabulary of the contract, a file of the box's public tokenizers.
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Pieces that a worker remembers during a task: some 300 MB.
-MEMORY_PIECES = 400_000
+#: Pieces that a worker remembers during a task: some 150 MB.
+MEMORY_PIECES = 700_000
 #: Stand for a line end, a comma and a full stop that open a piece.
 MARKS = {"\x01": "\n", "\x02": ",", "\x03": "."}
-_loaded: dict[str, Encoder] = {}
+#: New words that are encoded as one text.
+WORDS = 64
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_path() -> str:
@@ -29,21 +33,25 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file; it outlives tasks, which call ``forget`` at their end."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    if (path, literal) not in _loaded:
+        _loaded[path, literal] = Encoder(path, literal=literal)
+    return _loaded[path, literal]
 
 
 class Encoder:
-    def __init__(self, path: str, memory: int = MEMORY_PIECES):
+    """``literal``: the string of a special token in a text is ordinary text. Else it is that token, as with the tokenizer itself."""
+
+    def __init__(self, path: str, memory: int = MEMORY_PIECES, literal: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
         self.memory = memory
         self.size = self.tokenizer.get_vocab_size()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added if not (literal and t.special)]
         opens = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
         self.opens = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -51,79 +59,98 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """None: the text that holds the piece needs the next slower way. ``fine`` also cuts at marks, ``plain`` only at spaces."""
-        self.fine: dict[str, bytes | None] = {"": None}
-        self.plain: dict[str, bytes | None] = {"": None}
+        """False: the text that holds the piece needs the next slower way. ``fine`` also cuts at marks, ``plain`` only at spaces."""
+        self.fine: dict[str, bytes | bool] = {"": False}
+        self.plain: dict[str, bytes | bool] = {"": False}
+
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def spaced(self, pieces: list[str], known: dict[str, bytes | None]) -> None:
-        """Encode pieces behind one space each, together; a token that opens with a space begins the next piece."""
-        for at in range(0, len(pieces), 512):
-            some = pieces[at : at + 512]
-            ids = np.asarray(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+    def spaced(self, pieces: list[str], known: dict[str, bytes | bool]) -> None:
+        """Encode pieces behind one space each, some together; a token that opens with a space begins the next piece."""
+        some = [pieces[at : at + WORDS] for at in range(0, len(pieces), WORDS)]
+        for part, ids in zip(some, self.each([" " + " ".join(x) for x in some]), strict=True):
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(some):
-                known.update((p, self.whole(" " + p)) for p in some)
+            if len(cuts) != len(part):
+                known.update((p, self.whole(" " + p)) for p in part)
                 continue
             data, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
             start = 0
-            for p, end in zip(some, ends, strict=True):
+            for p, end in zip(part, ends, strict=True):
                 known[p] = data[start:end]
                 start = end
 
     def learn_fine(self, new: set[str]) -> None:
-        marked = [p for p in new if p[0] in MARKS]
-        for p in marked:
-            rest = p[1:]
-            alone = not rest and p[0] != "\x01"
-            self.fine[p] = self.whole(MARKS[p[0]] + rest) if alone or rest and rest[-1].isalnum() and not any(map(str.isspace, rest)) else None
-        good = []
-        for p in new.difference(marked):
-            if p[-1].isalnum() and not any(map(str.isspace, p)):
+        marked, good = [], []
+        for p in new:
+            if p.isalnum():
+                good.append(p)
+                continue
+            first, rest = p[0], p[1:]
+            if first in MARKS:
+                if not rest and first != "\x01" or rest and rest[-1].isalnum() and rest.split() == [rest]:
+                    marked.append(p)
+                else:
+                    self.fine[p] = False
+            elif p[-1].isalnum() and p.split() == [p]:
                 good.append(p)
             else:
-                self.fine[p] = None
+                self.fine[p] = False
+        for p, ids in zip(marked, self.each([MARKS[p[0]] + p[1:] for p in marked]), strict=True):
+            self.fine[p] = ids.tobytes()
         self.spaced(good, self.fine)
 
     def learn_plain(self, new: set[str]) -> None:
-        good = [p for p in new if not p[0].isspace()]
-        self.plain.update((p, None) for p in new.difference(good))
+        good = []
+        for p in new:
+            # What is cut at marks and known by its pieces needs no encoding of its own.
+            parts = [self.fine.get(x) for x in ([p] if p.isalnum() else self.cuts(p))]
+            if all(parts):
+                self.plain[p] = b"".join(parts)
+            elif p[0].isspace():
+                self.plain[p] = False
+            else:
+                good.append(p)
         self.spaced(good, self.plain)
 
+    def looked_up(self, pieces: list[list[str]], known: dict[str, bytes | bool], learn: Callable[[set[str]], None]) -> list[bytes | None]:
+        """The ids of each list of pieces, its first one at the beginning of a text; None if one of them needs a slower way."""
+        values = [list(map(known.get, p[1:])) for p in pieces]
+        gaps = [[i for i, v in enumerate(x) if v is None] for x in values]
+        new = {p[i + 1] for p, g in zip(pieces, gaps, strict=True) for i in g}
+        if new:
+            learn(new)
+        heads = self.each([p[0] if p else "" for p in pieces])
+        out = []
+        for p, x, g, head in zip(pieces, values, gaps, heads, strict=True):
+            for i in g:
+                x[i] = known[p[i + 1]]
+            out.append(None if not p or False in x else head.tobytes() + b"".join(x))
+        return out
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.fine) + len(self.plain) > self.memory:
             self.forget()
         cut = [self.cuts(t) for t in texts]
-        new = set().union(*(p[1:] for p in cut)).difference(self.fine)
-        if new:
-            self.learn_fine(new)
-        out = [self.joined(p, self.fine) if not p[0] or p[0][-1].isalnum() else None for p in cut]
+        out = self.looked_up([p if not p[0] or p[0][-1].isalnum() else [] for p in cut], self.fine, self.learn_fine)
         left = [i for i, ids in enumerate(out) if ids is None]
-        split = [texts[i].split(" ") for i in left]
-        new = set().union(*(p[1:] for p in split)).difference(self.plain)
-        if new:
-            self.learn_plain(new)
-        for i, pieces in zip(left, split, strict=True):
-            ids = self.joined(pieces, self.plain)
+        split = [[] if self.holds_special(texts[i]) else texts[i].split(" ") for i in left]
+        for i, ids in zip(left, self.looked_up(split, self.plain, self.learn_plain), strict=True):
             out[i] = self.whole(texts[i]) if ids is None else ids
         return out
 
-    @staticmethod
-    def cuts(text: str) -> list[str]:
-        if any(m in text for m in MARKS):
+    def holds_special(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
+    def cuts(self, text: str) -> list[str]:
+        if any(m in text for m in MARKS) or self.holds_special(text):
             return ["\x01"]
         for mark, char in MARKS.items():
             text = text.replace(char, " " + mark)
         if any(f"{a} {b}" in text for a in "\x02\x03" for b in "\x02\x03"):
             return ["\x01"]
         return text.split(" ")
-
-    def joined(self, pieces: list[str], known: dict[str, bytes | None]) -> bytes | None:
-        try:
-            rest = b"".join(map(known.__getitem__, pieces[1:]))
-        except TypeError:
-            return None
-        return (self.whole(pieces[0]) if pieces[0] else b"") + rest
