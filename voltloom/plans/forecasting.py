@@ -373,21 +373,23 @@ def importance_topk(spark, sf_dir):
     return profiles.top_importance(permutation_importance(spark, sf_dir), 20)
 
 
-_LIN_MEAN = ", ".join(f"avg({f}) AS {f}" for f in LINEAR_NAMES)
+# One level of each group of indicators is left out, so that the weights are unique and every column can rank.
+RANKED_NAMES = tuple(f for f in LINEAR_NAMES if f not in ("h_0", "dow_0", "mon_1"))
+_LIN_MEAN = ", ".join(f"avg({f}) AS {f}" for f in RANKED_NAMES)
 
 
 @register("linear_importance_topk", sql(
-    [*LINEAR, *least_squares("lin", "zone"), f"mu AS (SELECT zone, {_LIN_MEAN} FROM lin GROUP BY zone)",
+    [*LINEAR, *least_squares("lin", "zone", RANKED_NAMES), f"mu AS (SELECT zone, {_LIN_MEAN} FROM lin GROUP BY zone)",
      "imp AS (" + " UNION ALL ".join(
          f"SELECT zone, '{f}' AS feature, avg(abs(c[{i + 2}] * (lin.{f} - mu.{f}))) AS importance FROM lin JOIN mu USING (zone) JOIN coefs USING (zone) GROUP BY zone"
-         for i, f in enumerate(LINEAR_NAMES[:7])) + ")"],
-    "SELECT zone, feature, importance, row_number() OVER (PARTITION BY zone ORDER BY importance DESC, feature) AS rank FROM imp",
+         for i, f in enumerate(RANKED_NAMES)) + ")"],
+    "SELECT * FROM (SELECT zone, feature, importance, row_number() OVER (PARTITION BY zone ORDER BY importance DESC, feature) AS rank FROM imp) WHERE rank <= 20",
     "zone feature", "importance", "rank", digits=4), digits=4)
 def linear_importance_topk(spark, sf_dir):
-    """Mean |w (x - mean x)| of the lag and rolling columns, ranked; exact for the linear model."""
+    """Mean |w (x - mean x)| of all columns, the top 20; exact for the linear model."""
     matrix = baselines.linear_features(_total_price(spark, sf_dir))
-    scores = linear.linear_importance(matrix, linear.fit_ols(matrix, LINEAR_NAMES), LINEAR_NAMES)
-    return profiles.top_importance(scores.where(F.col("feature").isin(LINEAR_NAMES[:7])), 20)
+    names = list(RANKED_NAMES)
+    return profiles.top_importance(linear.linear_importance(matrix, linear.fit_ols(matrix, names), names), 20)
 
 
 # ── forecasts ───────────────────────────────────────────────────────────────
