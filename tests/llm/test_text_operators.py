@@ -3,6 +3,7 @@
 import collections
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +12,8 @@ import pytest
 pytest.importorskip("voltloom.llm")
 
 
+from tokenizers import Tokenizer  # noqa: E402
+
 from voltloom.llm import ann, bitpack, langid, lm_score, mixing, near, notices, packing, pii, quality  # noqa: E402
 from voltloom.llm.components import components  # noqa: E402
 from voltloom.llm.tokens import Encoder, default_path  # noqa: E402
@@ -106,6 +109,28 @@ def test_license_scan_against_brute_force(spark, docs, texts):
         assert bool(plain) == bool(searcher.find(joined)), i
 
 
+def test_license_matches_that_overlap():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        found = [(f"l{k}", int(a), int(a + n), int(e), 30) for k, (a, n, e) in enumerate(zip(rng.integers(0, 80, 12), rng.integers(1, 20, 12), rng.integers(0, 4, 12), strict=True))]
+        kept = []
+        for x in sorted(found, key=lambda x: x[3]):
+            if all(x[3] == y[3] or x[2] <= y[1] + 1 or y[2] <= x[1] + 1 for y in kept):
+                kept.append(x)
+        assert notices.fewest_edits(found) == kept
+
+
+def test_license_scan_of_very_many_matches():
+    searcher, took = notices.Searcher(), []
+    for n in (25_000, 100_000):
+        start = time.process_time()
+        words, base, first, last, _, labels, score, matches = notices.scan_text("all rights reserved filler words here " * n, searcher)
+        took.append(time.process_time() - start)
+        assert (words, base, first, last, labels, score, len(matches)) == (6 * n, n, 0, 6 * (n - 1), "reserved", 1.0, n)
+        assert matches[-1]["first_word"] == 6 * (n - 1) and matches[-1]["end"] == 38 * (n - 1) + 19
+    assert took[1] < 10 * took[0]
+
+
 def test_quality_rules_against_brute_force(spark, docs, texts):
     got = quality.judge(docs, trusted(spark)).collect()
     for r in got:
@@ -285,6 +310,39 @@ def test_jaccard_join_finds_pairs_within_a_template_family(spark):
     assert all((r.class_id, r.n_links) == (r.doc_id // 2 * 2, 1) for r in near.join(d).collect())
 
 
+def test_jaccard_join_of_one_large_family(spark, monkeypatch):
+    # Edges between representatives, of all tables of edges that components see, for one family of 2,048 near copies.
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 900, 150)]
+    rows = [(i, " ".join(w if k != at else f"e{i}" for k, w in enumerate(base))) for i, at in enumerate(rng.integers(0, 150, 2048).tolist())]
+    seen = []
+    monkeypatch.setattr(near, "components", lambda e: (seen.append(e.where("a <> b").distinct().count()), components(e))[1])
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {(r.class_id, r.n_links) for r in near.join(d).collect()} == {(0, 2047)}
+    assert max(seen) < 2 * near.band_shape()[0] * 2048
+    seen.clear()
+    assert [r.doc_id for r in near.dedupe(d).collect()] == [0]
+    assert len(seen) == 2 and seen[1] == 0  # pivots' links, and ties between classes: no group was compared
+
+
+def test_dedupe_gives_the_classes_of_the_join(spark, texts):
+    rng = np.random.default_rng(9)
+    more, base = {}, [f"w{k}" for k in range(60)]
+    for i in range(500):  # chains: neighbours are similar, far ones are not
+        base = [f"n{i}" if k == i % 60 else w for k, w in enumerate(base)]
+        more[20_000 + i] = " ".join(base)
+    for i in range(700):  # several classes of one template
+        w = [f"t{k}" for k in range(148)] + [f"o{i % 9}x{k}" for k in range(52)]
+        w[int(rng.integers(0, 200))] = f"e{i}"
+        more[30_000 + i] = " ".join(w)
+    both = texts | more
+    group, links = brute_classes(both)
+    d = spark.createDataFrame(list(both.items()), "doc_id long, text string").repartition(7)
+    got = near.join(d).collect()
+    assert not [r for r in got if r.class_id != group[r.doc_id] or r.n_links != links[r.doc_id]]
+    assert {r.doc_id for r in near.dedupe(d).collect()} == set(group.values())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -346,13 +404,16 @@ def test_language_held_out_accuracy(spark, docs):
 
 
 def test_encoder_gives_the_tokenizers_ids(texts):
-    enc = Encoder(default_path(), memory=2000)
+    enc, plain = Encoder(default_path(), memory=2000), Tokenizer.from_file(default_path())
     rng = np.random.default_rng(2)
     parts = ["a", "b", " ", "  ", "\n", "\t", "é", "12", ".", ",", "'s", " ", "!!", " \n", "\x02", "<|endoftext|>", "́", "Word"]
     made = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000)] + list(texts.values())
     for at in range(0, len(made), 300):
         some = made[at : at + 300]
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.batch(some)] == [e.ids for e in enc.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.batch(some)] == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+    assert np.frombuffer(enc.batch(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+    literal = Encoder(default_path(), literal=True)
+    assert np.frombuffer(literal.batch(["a <|endoftext|> b"])[0], "<u4").tolist()[:4] == [64, 1279, 91, 437]
 
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
@@ -366,13 +427,15 @@ def test_bit_packing_round_trip(bits):
 
 
 def test_token_files_and_packing_against_the_tokenizer(spark, docs, texts):
-    enc, start = Encoder(default_path()), 0
+    plain, start = Tokenizer.from_file(default_path()), 0
+    texts = texts | {10**6: "one <|endoftext|>two", 10**6 + 1: "<|endoftext|>", 10**6 + 2: "a\n<|endoftext|><|endoftext|> ."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in bitpack.encode(docs.repartition(5)).collect()}
     pieces = collections.defaultdict(list)
     for r in packing.pack_documents(docs).collect():
         pieces[r.doc_id].append(r)
     for i in sorted(texts):
-        ids = np.array([*enc.tokenizer.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*plain.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
         assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
         ids[-1] = 0

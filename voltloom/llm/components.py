@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         a = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
         b = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
         between = stored(edges.join(a, "a").join(b, "b").where("x <> y").select("x", "y").distinct(), "graph-between")
-        if not between.limit(1).count():
+        if between.isEmpty():
             return labels
         # Labels are nodes themselves: hook each to the least label next to it, then follow the hooks.
         both = between.unionByName(between.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
             jumped = hooks.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved"))
             jumped = stored(jumped, "graph-hooks")
             hooks = jumped.select("x", "y")
-            if not jumped.where("moved").limit(1).count():
+            if jumped.where("moved").isEmpty():
                 break
         moved = labels.join(hooks, F.col("component") == F.col("x"), "left")
         labels = stored(moved.select("node", F.coalesce("y", "component").alias("component")), "graph-labels")
