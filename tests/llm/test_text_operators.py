@@ -416,6 +416,23 @@ def test_encoder_gives_the_tokenizers_ids(texts):
     assert np.frombuffer(literal.batch(["a <|endoftext|> b"])[0], "<u4").tolist()[:4] == [64, 1279, 91, 437]
 
 
+def test_encoder_keeps_frequent_pieces():
+    class Counting(Encoder):
+        learnt = ()
+
+        def spaced(self, pieces, known):
+            self.learnt = [*self.learnt, *pieces]
+            super().spaced(pieces, known)
+
+    enc, plain = Counting(default_path(), memory=400), Tokenizer.from_file(default_path())
+    for i in range(40):
+        # A hundred rare words and ten frequent ones a batch; a mark asks for the slower way too.
+        text = "x " + " ".join([*(f"rare{i}x{k}" for k in range(100)), *(f"often{k}" for k in range(10))]) + " !?" * (i % 2)
+        assert np.frombuffer(enc.batch([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(enc.fine) + len(enc.plain) + len(enc.old_fine) + len(enc.old_plain) <= 400 + 2 * 250
+    assert max(enc.learnt.count(f"often{k}") for k in range(10)) <= 2
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     rng = np.random.default_rng(bits)

@@ -52,7 +52,6 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size:
                         out.append((key, k, a, b - a, zlib.crc32(part), *([part] if keep_ids else [])))
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-        enc.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInPandas(cut, PIECE_FIELDS + ", ids binary" * keep_ids)

@@ -2,7 +2,7 @@
 
 Before its merges the tokenizer cuts a text in front of a space that a word follows, and around a line end, comma or full
 stop between words. What lies between two cuts is encoded alike wherever it stands, so the ids of such pieces are kept in
-a bounded memory, and only new pieces are encoded. A text in which a piece could depend on its neighbours (runs of
+a bounded memory that outlives tasks, and only new pieces are encoded. A text in which a piece could depend on its neighbours (runs of
 white space or of punctuation) is cut at spaces only, or encoded whole, as is one that holds the string of a special token.
 All ways give exactly the tokenizer's ids. An empty text has none; null texts are for the caller to replace.
 """
@@ -10,7 +10,7 @@ All ways give exactly the tokenizer's ids. An empty text has none; null texts ar
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -18,10 +18,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The vocabulary of the contract, a file of the box's public tokenizers.
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Pieces that a worker remembers during a task: some 150 MB.
+#: Pieces that a worker remembers: some 150 MB. The least lately used half goes first.
 MEMORY_PIECES = 700_000
 #: Stand for a line end, a comma and a full stop that open a piece.
 MARKS = {"\x01": "\n", "\x02": ",", "\x03": "."}
+#: A comma or full stop next to another, as the cuts show them.
+DOUBLES = [f"{a} {b}" for a in "\x02\x03" for b in "\x02\x03"]
 #: New words that are encoded as one text.
 WORDS = 64
 _loaded: dict[tuple[str, bool], Encoder] = {}
@@ -34,7 +36,7 @@ def default_path() -> str:
 
 
 def encoder(path: str, literal: bool = False) -> Encoder:
-    """The worker's encoder for a tokenizer file; it outlives tasks, which call ``forget`` at their end."""
+    """The worker's encoder for a tokenizer file; it and its memory outlive tasks."""
     if (path, literal) not in _loaded:
         _loaded[path, literal] = Encoder(path, literal=literal)
     return _loaded[path, literal]
@@ -62,6 +64,13 @@ class Encoder:
         """False: the text that holds the piece needs the next slower way. ``fine`` also cuts at marks, ``plain`` only at spaces."""
         self.fine: dict[str, bytes | bool] = {"": False}
         self.plain: dict[str, bytes | bool] = {"": False}
+        self.old_fine: dict[str, bytes | bool] = {}
+        self.old_plain: dict[str, bytes | bool] = {}
+
+    def age(self) -> None:
+        """Keep what was used since the last time for one more time, and drop the rest: frequent pieces stay."""
+        self.old_fine, self.old_plain = self.fine, self.plain
+        self.fine, self.plain = {"": False}, {"": False}
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,41 +125,51 @@ class Encoder:
                 good.append(p)
         self.spaced(good, self.plain)
 
-    def looked_up(self, pieces: list[list[str]], known: dict[str, bytes | bool], learn: Callable[[set[str]], None]) -> list[bytes | None]:
+    def looked_up(self, pieces: list[list[str]], known: dict[str, bytes | bool], old: dict[str, bytes | bool], learn: Callable[[set[str]], None]) -> list[bytes | None]:
         """The ids of each list of pieces, its first one at the beginning of a text; None if one of them needs a slower way."""
-        values = [list(map(known.get, p[1:])) for p in pieces]
-        gaps = [[i for i, v in enumerate(x) if v is None] for x in values]
-        new = {p[i + 1] for p, g in zip(pieces, gaps, strict=True) for i in g}
+        new = set().union(*[p[1:] for p in pieces]).difference(known)
+        if old:
+            again = new.intersection(old)
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            new -= again
         if new:
             learn(new)
         heads = self.each([p[0] if p else "" for p in pieces])
         out = []
-        for p, x, g, head in zip(pieces, values, gaps, heads, strict=True):
-            for i in g:
-                x[i] = known[p[i + 1]]
-            out.append(None if not p or False in x else head.tobytes() + b"".join(x))
+        for p, head in zip(pieces, heads, strict=True):
+            try:
+                out.append(head.tobytes() + b"".join(map(known.__getitem__, p[1:])) if p else None)
+            except TypeError:  # a piece is False
+                out.append(None)
         return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.fine) + len(self.plain) > self.memory:
-            self.forget()
+        if 2 * (len(self.fine) + len(self.plain)) > self.memory:
+            self.age()
         cut = [self.cuts(t) for t in texts]
-        out = self.looked_up([p if not p[0] or p[0][-1].isalnum() else [] for p in cut], self.fine, self.learn_fine)
+        out = self.looked_up([p if not p[0] or p[0][-1].isalnum() else [] for p in cut], self.fine, self.old_fine, self.learn_fine)
         left = [i for i, ids in enumerate(out) if ids is None]
         split = [[] if self.holds_special(texts[i]) else texts[i].split(" ") for i in left]
-        for i, ids in zip(left, self.looked_up(split, self.plain, self.learn_plain), strict=True):
+        for i, ids in zip(left, self.looked_up(split, self.plain, self.old_plain, self.learn_plain), strict=True):
             out[i] = self.whole(texts[i]) if ids is None else ids
         return out
 
     def holds_special(self, text: str) -> bool:
-        return any(t in text for t in self.special)
+        return _holds(text, self.special)
 
     def cuts(self, text: str) -> list[str]:
-        if any(m in text for m in MARKS) or self.holds_special(text):
+        if _holds(text, MARKS) or _holds(text, self.special):
             return ["\x01"]
         for mark, char in MARKS.items():
             text = text.replace(char, " " + mark)
-        if any(f"{a} {b}" in text for a in "\x02\x03" for b in "\x02\x03"):
+        if ("\x02" in text or "\x03" in text) and _holds(text, DOUBLES):
             return ["\x01"]
         return text.split(" ")
+
+
+def _holds(text: str, strings: Iterable[str]) -> bool:
+    for s in strings:  # ``any`` takes longer on short pieces
+        if s in text:
+            return True
+    return False
