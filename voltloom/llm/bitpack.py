@@ -146,7 +146,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                         yield close()
         if held_docs:
             yield close()
-        enc.forget()
 
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm)
