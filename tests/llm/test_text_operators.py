@@ -403,6 +403,45 @@ def test_language_held_out_accuracy(spark, docs):
     assert {r.lang_pred for r in langid.label(d).collect()} == {"und"}
 
 
+def test_forest_stops_where_the_plain_ascent_stops(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.standard_normal((900, 12)), 1e-3 * rng.standard_normal((60, 12)) + 1])
+    f = ann.Forest(v, float(np.sqrt((v**2).sum(1).max())), trees=6)
+    calls, ranges = [], f._ranges
+    monkeypatch.setattr(f, "_ranges", lambda *x: calls.append(1) or ranges(*x))
+    q = np.concatenate([v[::40], rng.standard_normal((5, 12))])
+    flat = np.hstack([q, np.zeros((len(q), 1))])
+    codes = [f._codes(flat, p) for p in f.planes]
+    for wanted, least in ((150, 21), (3, 30), (10**9, 21)):
+        calls.clear()
+        got = list(f.candidates(q, wanted, least))
+        assert len(calls) <= 8
+        for i, c in enumerate(got):
+            own = 6 * any((x == q[i]).all() for x in v)
+            for depth in range(ann.BITS, -1, -1):
+                same = [(s >> np.uint64(ann.BITS - depth) == codes[t][i] >> np.uint64(ann.BITS - depth)) if depth else np.ones(len(v), bool) for t, s in enumerate(f.sorted)]
+                there = np.unique(np.concatenate([f.order[t][m] for t, m in enumerate(same)]))
+                if sum(m.sum() for m in same) - own >= wanted and len(there) >= least:
+                    break
+            assert c.tolist() == there.tolist()
+
+
+def test_rough_products_keep_the_best():
+    rng = np.random.default_rng(9)
+    for scale in (1.0, 1e-160, 1e200):
+        v = rng.standard_normal((500, 16)) * scale
+        v[100:200] = v[0] + 1e-15 * v[100:200]
+        f, places = ann.Forest(v / scale, 1.0, trees=1), np.arange(0, 500, 2)
+        f.longest = float(np.sqrt(((v / scale) ** 2).sum(1).max()) * scale)
+        with np.errstate(all="ignore"):
+            for q in v[:20]:
+                kept = ann.best_roughly(v @ q, places, 21, f.slack(q))
+                s = ann.products(v[places], q)
+                best = places[s >= np.partition(s, -21)[-21]]
+                assert set(best.tolist()) <= set(kept.tolist())
+                assert scale != 1.0 or len(kept) <= 21 + 50
+
+
 def test_encoder_gives_the_tokenizers_ids(texts):
     enc, plain = Encoder(default_path(), memory=2000), Tokenizer.from_file(default_path())
     rng = np.random.default_rng(2)

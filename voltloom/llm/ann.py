@@ -3,7 +3,8 @@
 Vectors are dealt to shards. In each shard every tree keeps its vectors' sign hashes (BITS random hyperplanes) as one sorted array. A
 query descends in all trees to its longest matching prefixes and then ascends in all trees together, one bit at a time, until
 the matches of all trees reach a multiple of the shard and hold one different entry more than the neighbours wanted, or all trees stand at
-the root; these candidates are scored exactly. Shorter vectors get one more
+the root; these candidates are scored exactly: products of the whole block and shard, summed in
+any order, rule out those that cannot be among the best. Shorter vectors get one more
 coordinate that makes all norms equal, so that angles order by inner product. Equal vectors are one entry with its least ids,
 one more than the neighbours wanted, which loses nothing as ties go to smaller ids.
 
@@ -57,6 +58,16 @@ class Forest:
     def _codes(flat: np.ndarray, planes: np.ndarray) -> np.ndarray:
         return np.packbits(flat @ planes > 0, axis=1, bitorder="big").view(">u8").ravel().astype(np.uint64)
 
+    def _ranges(self, codes: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per tree and query, the range of sorted hashes that share the query's first ``depth`` bits."""
+        # A shift by all 64 bits is undefined, so the root is taken by itself.
+        mask = np.where(depth == 0, np.uint64(0), ~np.uint64(0) << np.minimum(BITS - depth, BITS - 1).astype(np.uint64))
+        low, high = np.zeros((2, self.trees, len(depth)), np.int64)
+        for t, c in enumerate(codes):
+            low[t] = np.searchsorted(self.sorted[t], c & mask)
+            high[t] = np.searchsorted(self.sorted[t], c | ~mask, "right")
+        return low, high
+
     def _matches(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The distinct vectors in one query's range of every tree."""
         there = np.zeros(len(self.v), bool)
@@ -64,6 +75,11 @@ class Forest:
             there[self.order[t][low[t] : high[t]]] = True
         return np.flatnonzero(there)
 
+    def slack(self, q: np.ndarray) -> float:
+        """More than two ways to sum the terms of an inner product with ``q`` can differ by."""
+        f = np.finfo(float)
+        return 4 * len(q) * (f.eps * self.longest * float(np.sqrt((q * q).sum())) + f.smallest_subnormal)
+
     def candidates(self, q: np.ndarray, wanted: float, least: int) -> Iterator[np.ndarray]:
         """For each query, the vectors that share a prefix with it in some tree when the ascent stops.
 
@@ -72,26 +88,21 @@ class Forest:
         """
         flat = np.hstack([q, np.zeros((len(q), 1))])
         codes = [self._codes(flat, p) for p in self.planes]
-        low, high = np.zeros((2, self.trees, len(q)), np.int64)
         places = {x.tobytes(): i for i, x in enumerate(self.v)}
         own = np.array([self.trees * (x.tobytes() in places) for x in q], np.int64)
-        open_ = np.arange(len(q))
-        for depth in range(BITS, -1, -1):
-            # A shift by all 64 bits is undefined, so the root is taken by itself.
-            mask = np.uint64(0) if depth == 0 else ~np.uint64(0) << np.uint64(BITS - depth)
-            count = np.zeros(len(open_), np.int64)
-            for t in range(self.trees):
-                c = codes[t][open_] & mask
-                low[t, open_] = np.searchsorted(self.sorted[t], c)
-                high[t, open_] = np.searchsorted(self.sorted[t], c | ~mask, "right")
-                count += high[t, open_] - low[t, open_]
-            short = count - own[open_] < wanted
+        # Ranges only grow on the way up, so where a query stops is found by bisection: it stops at ``stop`` or above it.
+        stop, short_at = np.zeros(len(q), np.int64), np.full(len(q), BITS + 1)
+        while len(open_ := np.flatnonzero(short_at - stop > 1)):
+            depth = (stop[open_] + short_at[open_]) // 2
+            some_low, some_high = self._ranges([c[open_] for c in codes], depth)
+            span = some_high - some_low
+            short = span.sum(0) - own[open_] < wanted
             # One tree alone may hold enough different vectors; else they are counted.
-            for i in np.flatnonzero(~short & ((high - low)[:, open_].max(0) < least)):
-                short[i] = len(self._matches(low[:, open_[i]], high[:, open_[i]])) < least
-            open_ = open_[short]
-            if not len(open_):
-                break
+            for i in np.flatnonzero(~short & (span.max(0) < least)):
+                short[i] = len(self._matches(some_low[:, i], some_high[:, i])) < least
+            short_at[open_[short]] = depth[short]
+            stop[open_[~short]] = depth[~short]
+        low, high = self._ranges(codes, stop)
         for i in range(len(q)):
             yield self._matches(low[:, i], high[:, i])
 
@@ -101,6 +112,14 @@ def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(1)
 
 
+def best_roughly(rough: np.ndarray, places: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Those of ``places`` that may be among the k best if each of the rough products is off by ``slack`` at most."""
+    if len(places) <= k:
+        return places
+    s = rough[places]
+    return places[~(s < np.partition(s, -k)[-k] - 2 * slack)]  # products that overflow stay
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, candidates: float = CANDIDATES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest rows, itself left out.
 
@@ -132,7 +151,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, candidates: floa
 
         def answers(some: pd.DataFrame) -> pd.DataFrame:
             q, out = np.stack(some.v.to_numpy()), []
-            for entry, one, c in zip(some.entry, q, forest.candidates(q, candidates * len(forest.v), k + 1), strict=True):
+            found = forest.candidates(q, candidates * len(forest.v), k + 1)
+            for entry, one, rough, c in zip(some.entry, q, q @ forest.v.T, found, strict=True):
+                c = best_roughly(rough, c, k + 1, forest.slack(one))
                 s = products(forest.v[c], one)
                 # All entries as good as the last one needed stay: ids decide between ties.
                 keep = np.flatnonzero(s >= np.partition(s, -(k + 1))[-(k + 1)]) if len(s) > k + 1 else np.arange(len(s))
