@@ -181,6 +181,23 @@ def vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, terms array<int>, counts array<int>")
 
 
+def document_frequencies(vector: DataFrame, size: int) -> np.ndarray:
+    """Rows that hold each of ``size`` terms. A task adds up its rows and gives one row per term at most; so does the driver's total."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(size, np.int64)
+        for batch in batches:
+            if len(batch):
+                seen += np.bincount(np.concatenate(batch.terms.to_list()), minlength=size)  # a row's terms are distinct
+        t = np.flatnonzero(seen)
+        yield pd.DataFrame({"t": t, "n": seen[t]})
+
+    df = np.zeros(size)
+    for r in vector.select("terms").mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        df[r["t"]] = r["n"]
+    return df
+
+
 class Index:
     """Block-max inverted index of unit vectors; ``ids``, ``toxic`` and ``weight`` are by example.
 
@@ -288,9 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most: in
     if not len(terms):
         model.blank = share
         return model, vector
-    df = np.zeros(len(terms))
-    for r in vector.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row per term of the vocabulary
-        df[r["t"]] = r["count"]
+    df = document_frequencies(vector, len(terms))
     total = vector.count()
     idf = np.log((1 + total) / (1 + df)) + 1
     sizes = {r.toxic: r.n for r in known.where(F.size("terms") > 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
