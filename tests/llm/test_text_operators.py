@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("voltloom.llm")
 
@@ -185,6 +186,24 @@ def test_lm_counts_of_rare_bigrams_are_their_own(spark):
     assert got[1001].background_loss == pytest.approx(-(np.log(a) + np.log(b)) / 2, rel=1e-9)
 
 
+def test_lm_blocks_send_an_ngram_once_and_in_few_bytes(spark, docs):
+    t, yes = trusted(spark), F.lit(True)
+    whole = {r.doc_id: r for r in lm_score.rank(docs, t).collect()}
+    models = lm_score.train(docs, t)
+    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in ("words", "word_counts", "pairs", "pair_counts", "texts", "names", "tokens")]
+    sent = lm_score.asking(models.rows.coalesce(1).withColumns({"counts": yes, "asks": yes}), models)
+    rows, blocks, size = sent.agg(F.count("*"), F.countDistinct("block"), sum(sizes)).first()
+    # Rows of five longs per bigram took 30 bytes a word after compression.
+    assert blocks == 1 and rows <= lm_score.BUCKETS and size < 15 * models.background
+    # The same from many small blocks (one or more per partition), and when the scored rows are not those that were counted.
+    for found in (lm_score.rank(docs.repartition(20), t), lm_score.score(docs.where("doc_id % 3 = 0"), t, models)):
+        found = found.collect()
+        assert len(found) in (len(whole), sum(i % 3 == 0 for i in whole))
+        for r in found:
+            assert r.n_tokens == whole[r.doc_id].n_tokens
+            assert (r.target_loss, r.background_loss) == pytest.approx((whole[r.doc_id].target_loss, whole[r.doc_id].background_loss), rel=1e-9)
+
+
 def test_mix_meets_targets_and_agrees_on_reruns(spark, docs):
     first, second = ([tuple(r) for r in mixing.mix(docs).orderBy("doc_id").collect()] for _ in range(2))
     assert first == second
