@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -491,6 +492,19 @@ def test_encoder_keeps_frequent_pieces():
     assert max(enc.learnt.count(f"often{k}") for k in range(10)) <= 2
 
 
+def test_packing_leaves_no_pieces_in_the_worker(spark, docs):
+    def held(batches):
+        from voltloom.llm import tokens
+
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"n": [sum(len(m) for e in tokens._loaded.values() for m in (e.fine, e.plain, e.old_fine, e.old_plain))]})
+
+    assert packing.pieces(docs).count() >= docs.count()
+    # Only the empty piece of either kind.
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInPandas(held, "n long").collect()} <= {0, 2}
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     rng = np.random.default_rng(bits)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import BATCH_ROWS, ranked, small_batches, stored
-from .tokens import default_path, encoder
+from .tokens import default_path, task_encoder
 
 SEQUENCE = 2048
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,20 +38,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size:
     tokenizer = tokenizer or default_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, len(batch), BATCH_ROWS):
-                some, out = batch.iloc[at : at + BATCH_ROWS], []
-                for doc_id, ids in zip(some.doc_id, enc.batch(list(some.text)), strict=True):
-                    data = ids + end
-                    n = len(data) // 4
-                    bounds = [0, *range(n % size or size, n + 1, size)]
-                    key = None if pd.isna(doc_id) else int(doc_id)
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        part = data[4 * a : 4 * b]
-                        out.append((key, k, a, b - a, zlib.crc32(part), *([part] if keep_ids else [])))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        end = np.array([end_id], "<u4").tobytes()
+        with task_encoder(tokenizer) as enc:
+            for batch in batches:
+                for at in range(0, len(batch), BATCH_ROWS):
+                    some, out = batch.iloc[at : at + BATCH_ROWS], []
+                    for doc_id, ids in zip(some.doc_id, enc.batch(list(some.text)), strict=True):
+                        data = ids + end
+                        n = len(data) // 4
+                        bounds = [0, *range(n % size or size, n + 1, size)]
+                        key = None if pd.isna(doc_id) else int(doc_id)
+                        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                            part = data[4 * a : 4 * b]
+                            out.append((key, k, a, b - a, zlib.crc32(part), *([part] if keep_ids else [])))
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+                    yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInPandas(cut, PIECE_FIELDS + ", ids binary" * keep_ids)

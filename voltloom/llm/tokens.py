@@ -10,7 +10,8 @@ All ways give exactly the tokenizer's ids. An empty text has none; null texts ar
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -20,6 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Pieces that a worker remembers: some 150 MB. The least lately used half goes first.
 MEMORY_PIECES = 700_000
+#: Pieces where the memory goes with the task.
+TASK_PIECES = 1_400_000
 #: Stand for a line end, a comma and a full stop that open a piece.
 MARKS = {"\x01": "\n", "\x02": ",", "\x03": "."}
 #: A comma or full stop next to another, as the cuts show them.
@@ -42,6 +45,19 @@ def encoder(path: str, literal: bool = False) -> Encoder:
     return _loaded[path, literal]
 
 
+@contextmanager
+def task_encoder(path: str, literal: bool = False) -> Iterator[Encoder]:
+    """The worker's encoder, which forgets its pieces when the task ends: Spark keeps more workers than run at a time, and those that
+    wait or work for another operator would each hold a memory of their own."""
+    enc = encoder(path, literal)
+    usual, enc.memory = enc.memory, TASK_PIECES
+    try:
+        yield enc
+    finally:
+        enc.memory = usual
+        enc.forget()
+
+
 class Encoder:
     """``literal``: the string of a special token in a text is ordinary text. Else it is that token, as with the tokenizer itself."""
 
